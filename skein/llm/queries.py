@@ -13,12 +13,38 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, predict_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return predict_documents(docs, fit(docs))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_document_tokens
+
+    return count_document_tokens(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_documents
 
@@ -31,5 +57,5 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_packing, op8_pii, op9_winnowing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_packing, op5_ann, op6_langid, op7_token_counts, op8_pii, op9_winnowing)}
 ORACLES: dict[str, str] = {}
