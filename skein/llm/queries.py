@@ -57,5 +57,11 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_packing, op5_ann, op6_langid, op7_token_counts, op8_pii, op9_winnowing)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import link_documents
+
+    return link_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_packing, op5_ann, op6_langid, op7_token_counts, op8_pii, op9_winnowing, op10_jaccard)}
 ORACLES: dict[str, str] = {}
