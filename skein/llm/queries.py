@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -26,6 +27,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import deduplicated
+
+    out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "lines_repeated", "lines_near", F.length(text).cast("long").alias("chars_left"), F.sha2(text, 256).alias("text_sha256"))
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import search
 
@@ -63,5 +72,48 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_packing, op5_ann, op6_langid, op7_token_counts, op8_pii, op9_winnowing, op10_jaccard)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_packing, op4_lines, op5_ann, op6_langid, op7_token_counts, op8_pii, op9_winnowing, op10_jaccard)}
+#: Lines of 20 code points and more; equal ones stay once, and none that is one edit from an earlier one. levenshtein counts
+#: bytes here, so it only narrows the pairs.
+LINES_SQL = """
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents
+), o AS (SELECT doc_id, pos, line FROM l WHERE length(line) >= 20),
+c AS (SELECT line, length(line) AS n, min({'d': doc_id, 'p': pos}) AS at FROM o GROUP BY line),
+p AS (
+  SELECT a.line AS x, b.line AS y FROM c a JOIN c b ON a.n = b.n AND a.at < b.at AND levenshtein(a.line, b.line) <= 4
+  UNION ALL SELECT a.line, b.line FROM c a JOIN c b ON a.n = b.n + 1 AND a.at < b.at AND levenshtein(a.line, b.line) <= 4
+  UNION ALL SELECT a.line, b.line FROM c a JOIN c b ON a.n + 1 = b.n AND a.at < b.at AND levenshtein(a.line, b.line) <= 4
+), q AS (SELECT y, CASE WHEN length(x) >= length(y) THEN x ELSE y END AS s, CASE WHEN length(x) >= length(y) THEN y ELSE x END AS t FROM p),
+g AS (
+  SELECT DISTINCT y FROM q WHERE (length(s) = length(t) AND list_sum(list_transform(range(1, length(s) + 1), lambda i: (s[i] <> t[i])::INT)) <= 1)
+  OR (length(s) = length(t) + 1 AND list_bool_or(list_transform(range(0, length(s)), lambda i: left(s, i) || substr(s, i + 2) = t)))
+), d AS (
+  SELECT l.doc_id, l.pos, l.line, c.line IS NOT NULL AND (g.y IS NOT NULL OR {'d': l.doc_id, 'p': l.pos} <> c.at) AS gone,
+    c.line IS NOT NULL AND g.y IS NOT NULL AND {'d': l.doc_id, 'p': l.pos} = c.at AS near
+  FROM l LEFT JOIN c ON l.line = c.line LEFT JOIN g ON l.line = g.y
+), r AS (
+  SELECT doc_id, count(*) FILTER (gone AND NOT near) AS lines_repeated, count(*) FILTER (near) AS lines_near,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS t FROM d GROUP BY doc_id
+)
+SELECT doc_id, lines_repeated, lines_near, length(t) AS chars_left, sha256(t) AS text_sha256 FROM r
+"""
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS g FROM w
+), k AS (SELECT g, min(doc_id) AS rep, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+t AS (SELECT rep, n, unnest(g) AS x FROM k),
+i AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS same FROM t a JOIN t b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.rep, b.rep),
+e AS (SELECT a, b FROM i WHERE 100 * same >= 90 * (na + nb - same)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(a, b) AS (SELECT rep, rep FROM k UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT s.doc_id, len(s.g) AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN k ON s.g = k.g LEFT JOIN m ON k.rep = m.a
+"""
+
+ORACLES: dict[str, str] = {"op4_lines": LINES_SQL, "op10_jaccard": JACCARD_SQL}

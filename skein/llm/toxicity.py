@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,8 +150,9 @@ def keep_clean(docs: DataFrame, model: tuple[np.ndarray, float], threshold: floa
     """The rows, all columns as they are, whose score is below the threshold."""
 
     @F.pandas_udf("double")
-    def score(texts):
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = scorer(model)
-        return texts.map(one).astype("float64")
+        for texts in batches:
+            yield texts.map(one).astype("float64")
 
     return docs.where(score(F.coalesce(F.col(text_col), F.lit(""))) < threshold)
