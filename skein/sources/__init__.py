@@ -1 +1,141 @@
-"""Sources of the engine."""
+"""Readers (S1-S26)."""
+
+from __future__ import annotations
+
+import io
+import tarfile
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def jsonl(spark: SparkSession, path: str, schema=None, strict: bool = True, suffix: str | None = None) -> DataFrame:
+    """JSON lines (also .zst and .gz), of a folder and those below it; bad lines raise or go."""
+    r = spark.read.option("mode", "FAILFAST" if strict else "DROPMALFORMED").option("recursiveFileLookup", True)
+    if suffix:
+        r = r.option("pathGlobFilter", f"*{suffix}")
+    return (r.schema(schema) if schema else r).json(path)
+
+
+def json_array(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """A file that is one JSON array."""
+    r = spark.read.option("multiLine", True)
+    return (r.schema(schema) if schema else r).json(path)
+
+
+def any_format(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """By suffix; folders and all else are parquet."""
+    if path.endswith((".jsonl", ".jsonl.zst", ".jsonl.gz")):
+        return jsonl(spark, path, schema)
+    if path.endswith(".json"):
+        return json_array(spark, path, schema)
+    if path.endswith((".tsv", ".csv")):
+        return delimited(spark, path, schema, "\t" if path.endswith(".tsv") else ",")
+    return spark.read.parquet(path)
+
+
+def delimited(spark: SparkSession, path: str, schema=None, sep: str = "\t") -> DataFrame:
+    """S14, S15."""
+    r = spark.read.option("header", True).option("sep", sep)
+    return (r.schema(schema) if schema else r).csv(path)
+
+
+def listing(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """Files with sizes, contents untouched."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(path).select("path", "length", "modificationTime")
+
+
+def shard_sample(files: DataFrame, share: float, seed: int, tail: bool = False) -> DataFrame:
+    """Of the hashed order of shards the first share, or the last (at least one); names with // go."""
+    kept = files.where(~F.regexp_replace("path", "^[a-z0-9]+:/+", "").contains("//"))
+    n = max(1, int(kept.count() * share))
+    key = F.xxhash64("path", F.lit(seed))
+    return kept.orderBy(key.desc() if tail else key.asc(), "path").limit(n)
+
+
+def tar_members(spark: SparkSession, path: str) -> DataFrame:
+    """Url, pos, key, suffix, data of the members of every tar; a tar that cannot be read to its end gives what it can."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tar").load(path).select("path", "content")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for url, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = []
+                try:
+                    with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                        for pos, member in enumerate(tar):
+                            if member.isfile():
+                                folder, _, name = member.name.rpartition("/")
+                                key, _, suffix = name.partition(".")
+                                rows.append((url, pos, f"{folder}/{key}" if folder else key, suffix.lower(), tar.extractfile(member).read()))
+                except tarfile.TarError:
+                    pass
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["url", "pos", "key", "suffix", "data"])
+
+    return files.mapInArrow(read, "url string, pos long, key string, suffix string, data binary")
+
+
+def tar_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Members of one sample as a map from suffix to data."""
+    from ..operators.batching import sessions
+
+    grouped = sessions(tar_members(spark, path), "pos", "key", "suffix")
+    return grouped.groupBy("url", "sample").agg(F.min("pos").alias("pos"), F.first("key").alias("key"), F.map_from_entries(F.collect_list(F.struct("suffix", "data"))).alias("members"))
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """File, line_no (from 1, by place in the file) and value of every line."""
+    from pyspark.sql import Window
+
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1).alias("stem"), "value", F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
+    return text.withColumn("line_no", F.row_number().over(Window.partitionBy("file").orderBy("_b", "_m"))).drop("_b", "_m")
+
+
+def named_objects(spark: SparkSession, path: str, value_ddl: str) -> DataFrame:
+    """An object of objects; each key becomes the column name."""
+    whole = spark.read.option("wholetext", True).text(path)
+    return whole.select(F.explode(F.from_json("value", f"map<string,{value_ddl}>")).alias("name", "v")).select("name", "v.*")
+
+
+def keyed_union(frames: list[DataFrame], key: str, number: str = "number") -> DataFrame:
+    """Of rows with one key the last frame's stays; then numbered from 1 in key order."""
+    from ..operators.rows import with_row_index
+
+    both = None
+    for i, f in enumerate(frames):
+        f = f.withColumn("_f", F.lit(i))
+        both = f if both is None else both.unionByName(f)
+    last = both.groupBy(key).agg(F.max_by(F.struct("*"), "_f").alias("_r")).select("_r.*").drop("_f")
+    return with_row_index(last, key, name=number).withColumn(number, F.col(number) + 1)
+
+
+def constant_rows(spark: SparkSession, n: int, **columns) -> DataFrame:
+    """S25."""
+    return spark.range(n).select("id", *[F.lit(v).alias(k) for k, v in columns.items()])
+
+
+def shard_sizes(manifest: DataFrame | None, data: DataFrame) -> int:
+    """Rows by a manifest (path, n) if there is one, else counted."""
+    return manifest.agg(F.sum("n")).first()[0] if manifest is not None else data.count()
+
+
+def numpy_array(spark: SparkSession, path: str, name: str = "arr_0") -> DataFrame:
+    """Rows of an array in .npz or .npy files, read file by file on the executors."""
+    import numpy as np
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for url, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                loaded = np.load(io.BytesIO(content))
+                x = loaded[name] if hasattr(loaded, "files") else loaded
+                x = x.reshape(len(x), -1).astype(np.float32)
+                for at in range(0, len(x), 1024):
+                    part = x[at : at + 1024]
+                    yield pa.RecordBatch.from_arrays([pa.array([url] * len(part)), pa.array(range(at, at + len(part)), pa.int64()), pa.array(list(part), pa.list_(pa.float32()))], names=["path", "row", "vec"])
+
+    return files.mapInArrow(read, "path string, row long, vec array<float>")
