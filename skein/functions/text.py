@@ -48,7 +48,7 @@ def normalise_answer(c: Column) -> Column:
     digits = x.rlike(r"(?<=\d),+(?=\d)")
     for p in PUNCTUATION:
         glued = F.contains(x, F.lit(p + " ")) | F.contains(x, F.lit(" " + p)) | digits
-        out = F.when(glued, F.replace(out, F.lit(p), F.lit(""))).otherwise(F.replace(out, F.lit(p), F.lit(" ")))
+        out = F.replace(out, F.lit(p), F.when(glued, "").otherwise(" "))
     out = F.array_join(F.split(out, r"\.(?!\d)", 33), "")
     words = F.filter(F.split(F.lower(out), r"(?U)\s+"), lambda w: w != "")
     words = F.filter(F.transform(words, lambda w: F.coalesce(F.try_element_at(lookup(NUMBERS), w), w)), lambda w: ~w.isin(ARTICLES))
