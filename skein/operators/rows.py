@@ -7,16 +7,27 @@ do not change with partitioning.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark, what: str) -> str:
+    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir); a folder of its own only where the
+    session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined():
+            spark.sparkContext.setCheckpointDir(f"/tmp/skein-shared-{os.getpid()}")
+        base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the session's shared folder; a folder of its own only where the session names none."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(f"/tmp/skein-shared-{os.getpid()}")
+    """Checkpoint in the shared folder."""
+    shared_folder(df.sparkSession, "probe")
     return df.checkpoint(eager=True)
 
 
