@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -77,12 +78,30 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a checkpoint in the shared folder: a lost executor costs no recomputation and no data."""
+def cut(df: DataFrame, share_of_cores: float | None = None) -> DataFrame:
+    """Cut lineage by a checkpoint in the shared folder: a lost executor costs no recomputation and no data.
+
+    With ``share_of_cores`` it is written by so many tasks for each core, as each file costs the executors a process of its
+    own to set its rights: 1 for tables that grow with the input, less for what is small.
+    """
     shared_folder(df.sparkSession, "probe")  # sets a folder where none is set
+    if share_of_cores:
+        df = df.coalesce(max(1, round(df.sparkSession.sparkContext.defaultParallelism * share_of_cores)))
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``cut`` with a file for every second core."""
+    return cut(df, 0.5)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop at once the shuffle files of plans that nothing refers to any more; else they stay on the executors'
+    disks until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Memo(dict):
     """A dictionary that computes what it lacks. It holds two generations of at most ``most`` entries together: when the
     young one is full the old one goes, so what is frequent stays."""

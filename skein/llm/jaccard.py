@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, id_text, map_rows
+from .common import Memo, cut, id_text, map_rows, small
 
 SKETCH_BITS, CHUNK_BITS, WORDS64 = 22, 16, 16
 SALTS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7)
@@ -135,7 +135,7 @@ def digest_sets(docs: DataFrame, words: int, percent: int, sketch: np.ndarray) -
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, most_broadcast: int = 200_000) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough. Their ids are broadcast if they are few, else joined."""
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    ids = small(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
     needed = docs.join(F.broadcast(ids) if ids.count() <= most_broadcast else ids, "doc_id", "left_semi")
 
     def start():
@@ -154,7 +154,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, most_b
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of the links (a, b): component is the smallest node reachable."""
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = small(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -162,26 +162,25 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         state = now
         both = edges.union(edges.select("v", "u"))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        star = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        edges = small(star.distinct())
 
 
 def link_documents(df: DataFrame, words: int = 3, percent: int = 90, crowd: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     docs = id_text(df, id_col, text_col)
-    rows = cut(digest_sets(docs, words, percent, frequency_sketch(docs, words)))
-    classes = cut(rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")))
+    rows = cut(digest_sets(docs, words, percent, frequency_sketch(docs, words)), 1)
+    classes = small(rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")))
     kept = rows.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi")
     tokens = kept.select("doc_id", F.explode("p1").alias("token"))
-    shared = cut(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
-    meet = cut(tokens.join(shared, "token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    meet = cut(tokens.join(shared, "token"), 1)
     own = meet.groupBy("doc_id").agg(F.count("*").alias("common"), F.max("c").alias("most"))
     signatures = [f"s{k}" for k in range(WORDS64)]
-    about = cut(kept.join(own, "doc_id").select("doc_id", "n", (F.size("p1") - F.col("common")).alias("alone"), "most", "p2", "p3", *signatures))
+    about = cut(kept.join(own, "doc_id").select("doc_id", "n", (F.size("p1") - F.col("common")).alias("alone"), "most", "p2", "p3", *signatures), 1)
 
     def alike(a: str, b: str):
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -198,25 +197,25 @@ def link_documents(df: DataFrame, words: int = 3, percent: int = 90, crowd: int
     if about.where(F.col("most") > crowd).limit(1).count():
         crowded = meet.where(F.col("c") > crowd).join(about.select("doc_id", "alone"), "doc_id")
         rank = F.struct("alone", "doc_id")
-        pivots = cut(crowded.groupBy("token").agg(F.min(rank).alias("pivot")))
+        pivots = crowded.groupBy("token").agg(F.min(rank).alias("pivot"))
         chosen = crowded.select("token", "doc_id").join(pivots, "token").groupBy("doc_id").agg(F.min("pivot").alias("pivot")).select(F.col("doc_id").alias("a"), F.col("pivot.doc_id").alias("b")).where("a <> b")
         near = chosen.join(light.alias("x"), F.col("a") == F.col("x.doc_id")).join(light.alias("y"), F.col("b") == F.col("y.doc_id")).where(alike("x", "y")).select("a", "b")
-        links = cut(verified(cut(filtered(near)), docs, words, percent))
+        links = small(verified(small(filtered(near)), docs, words, percent))
         placed = components(links)
         light = light.join(placed, light.doc_id == placed.node, "left").select("doc_id", "n", *signatures, F.coalesce("component", "doc_id").alias("part"))
     else:
         light = light.withColumn("part", F.col("doc_id"))
     # n-grams whose classes are all in one component need no more pairs
     parts = light.select("doc_id", "part")
-    mixed = cut(meet.join(parts, "doc_id").groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token"))
-    spread = cut(meet.select("token", "doc_id").join(mixed, "token").join(light, "doc_id"))
+    mixed = meet.join(parts, "doc_id").groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
+    spread = cut(meet.select("token", "doc_id").join(mixed, "token").join(light, "doc_id"), 1)
     x, y = spread.alias("x"), spread.alias("y")
     found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.part") != F.col("y.part")) & alike("x", "y"))
-    pairs = cut(filtered(found.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()))
+    pairs = small(filtered(found.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()))
     more = verified(pairs, docs, words, percent)
     placed = components(links.union(more) if links is not None else more)
     whole = classes.join(placed, classes.rep == placed.node, "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    return rows.select("doc_id", "n", "key").join(cut(whole), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.select("doc_id", "n", "key").join(whole, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
