@@ -49,7 +49,7 @@ class Quantiser:
         s, c = self.split(x), self.centres
         if codes is None:
             codes = np.stack([((s[:, m, None, :] - c[m]) ** 2).sum(2).argmin(1) for m in range(self.subspaces)], 1)
-        par = [s[:, m] @ c[m].T for m in range(self.subspaces)]  # rows x 16: what a centre adds to <x, coded x>
+        par = [s[:, m, :1] * c[m, :, 0] + s[:, m, 1:] * c[m, :, 1] for m in range(self.subspaces)]  # rows x 16: what a centre adds to <x, coded x>; no matrix product, so equal rows get equal codes
         sq = [((s[:, m, None, :] - c[m]) ** 2).sum(2) for m in range(self.subspaces)]
         row = np.arange(len(x))
         got = sum(par[m][row, codes[:, m]] for m in range(self.subspaces))
@@ -136,8 +136,8 @@ def search_block(model: Quantiser, rows: pd.DataFrame, queries: pd.DataFrame, k:
             near = best(approx, rerank)
             near = near[ids[near] != query_id]
             with np.errstate(over="ignore", invalid="ignore"):
-                exact = (x[near] @ v) / (norm[near] * np.linalg.norm(v))
-            exact = np.where(np.isfinite(exact), exact, u[near] @ uv)
+                exact = (x[near] * v).sum(1) / (norm[near] * np.linalg.norm(v))  # row by row, so equal vectors have equal scores
+            exact = np.where(np.isfinite(exact), exact, (u[near] * uv).sum(1))
             for i in np.lexsort((ids[near], -exact))[:k]:
                 out.append((query_id, ids[near[i]], exact[i]))
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
