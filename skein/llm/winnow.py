@@ -138,7 +138,8 @@ def compare_with_next(df: DataFrame, k: int = K, w: int = W, slices: int | None
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slices = slices or 4 * partitions
     ids = docs.select("doc_id")
-    marks = np.array(sorted({int(m) for m in ids.approxQuantile("doc_id", [i / slices for i in range(1, slices)], 0.2 / slices)}), np.int64)
+    shares = [i / slices for i in range(1, slices)]
+    marks = np.array(sorted({int(m) for m in ids.approxQuantile("doc_id", shares, 0.2 / slices)}) if shares else [], np.int64)
 
     @F.pandas_udf("int")
     def place(values: pd.Series) -> pd.Series:
