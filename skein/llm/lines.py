@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import release, small
 
 LETTERS = "enta"
 SHIFT = 1 << 31
@@ -125,7 +125,8 @@ def near_pairs(classes: DataFrame, max_edits: int) -> DataFrame:
             m = n - less
             begin, size = segment(m, i, parts)
             for off in range(max(-i, less - (max_edits - i)), min(i, less + (max_edits - i)) + 1):
-                probe.append(key(m, i, F.substring(line, begin + (1 + off), size)))
+                if less or off:  # the line's own segments are in the index
+                    probe.append(key(m, i, F.substring(line, begin + (1 + off), size)))
     counts = sum((F.shiftleft(F.least(F.lit(65535), n - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long"), 16 * k) for k, c in enumerate(LETTERS)), F.lit(0).cast("long"))
     sized = classes.withColumn("n", F.length("line"))
     few = sized.withColumn("letters", counts)
@@ -136,7 +137,9 @@ def near_pairs(classes: DataFrame, max_edits: int) -> DataFrame:
         return F.shiftrightunsigned(F.col(col), 16 * k).bitwiseAND(F.lit(65535).cast("long"))
 
     apart = sum((F.abs(count("letters", k) - count("letters2", k)) for k in range(len(LETTERS))), F.lit(0).cast("long"))
-    found = x.join(y, (F.col("k") == F.col("k2")) & (F.col("at") != F.col("at2")) & (apart <= 2 * max_edits))
+    same = x.join(x.select(F.col("at").alias("at2"), F.col("letters").alias("letters2"), F.col("k").alias("k2")), (F.col("k") == F.col("k2")) & (F.col("at") < F.col("at2")) & (apart <= 2 * max_edits))
+    other = x.join(y, (F.col("k") == F.col("k2")) & (F.col("at") != F.col("at2")) & (apart <= 2 * max_edits))
+    found = same.unionByName(other)
     return found.select(F.least("at", "at2").alias("low"), F.greatest("at", "at2").alias("high")).distinct()
 
 
@@ -146,26 +149,26 @@ def dropped_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = 20, most
         raise ValueError("lines must be longer than the edits allowed")
     lines = exploded(docs, max(1, min_chars))
     h = F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("again"), F.col("line")).alias("h2")
-    pairs = cut(near_pairs(lines.groupBy("line").agg(F.min(place()).alias("at")), max_edits))
-    ends = cut(pairs.select(F.col("low").alias("at")).union(pairs.select(F.col("high").alias("at"))).distinct().withColumn("pos", F.pmod("at", F.lit(SHIFT)).cast("int")).select("at", F.expr(f"(at - pos) div {SHIFT}").cast("long").alias("doc_id"), "pos"))
-    needed = F.broadcast(ends) if ends.count() <= most_broadcast else ends
-    holders = needed.select("doc_id").distinct() if needed is ends else F.broadcast(ends.select("doc_id").distinct())
+    pairs = small(near_pairs(lines.groupBy("line").agg(F.min(place()).alias("at")), max_edits))
+    ends = small(pairs.select(F.col("low").alias("at")).union(pairs.select(F.col("high").alias("at"))).distinct().withColumn("pos", F.pmod("at", F.lit(SHIFT)).cast("int")).select("at", F.expr(f"(at - pos) div {SHIFT}").cast("long").alias("doc_id"), "pos"))
+    few = ends.count() <= most_broadcast
+    release(docs.sparkSession)  # the texts and segments that were dealt out
+    needed, holders = (F.broadcast(x) if few else x for x in (ends, ends.select("doc_id").distinct()))
     texts = exploded(docs.join(holders, "doc_id", "left_semi"), min_chars).join(needed, ["doc_id", "pos"]).select("at", "line", *h).distinct()
     a, b = texts.select(F.col("at").alias("low"), F.col("line").alias("x")), texts.select(F.col("at").alias("high"), F.col("line").alias("y"), "h1", "h2")
-    gone = cut(pairs.join(a, "low").join(b, "high").where(within_edits(F.col("x"), F.col("y"), max_edits)).select("h1", "h2").distinct())
+    gone = small(pairs.join(a, "low").join(b, "high").where(within_edits(F.col("x"), F.col("y"), max_edits)).select("h1", "h2").distinct())
     hashed = lines.select("doc_id", "pos", *h)
     first = hashed.groupBy("h1", "h2").agg(F.min(place()).alias("at"), F.count("*").alias("c")).join(gone.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
-    judged = cut(first.where("c > 1 or near").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near")))
+    judged = small(first.where("c > 1 or near").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near")))
     return hashed.join(judged, ["h1", "h2"]).where(F.col("near") | (place() != F.col("at"))).select("doc_id", "pos", (F.col("near") & (place() == F.col("at"))).alias("near")).distinct()
 
 
-def deduplicated(df: DataFrame, max_edits: int = 1, min_chars: int = 20, most_broadcast: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(df: DataFrame, max_edits: int = 1, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns, the text without its dropped lines, and the columns lines_repeated and lines_near (counts)."""
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = cut(dropped_lines(narrow, max_edits, min_chars))
-    few = lines.count() <= most_broadcast
+    lines = dropped_lines(narrow, max_edits, min_chars)
     by_doc = lines.groupBy(F.col("doc_id").alias("dropped_id")).agg(F.array_sort(F.collect_list("pos")).alias("dropped_at"), F.sum(F.col("near").cast("int")).alias("dropped_near"))
-    out = df.join(F.broadcast(by_doc) if few else by_doc, F.col(id_col).cast("long") == F.col("dropped_id"), "left")
+    out = df.join(by_doc, F.col(id_col).cast("long") == F.col("dropped_id"), "left")
     pieces = F.split(F.col(text_col), "\n")
     begins = F.concat(F.array(F.lit(0)), F.transform("dropped_at", lambda p: p + 1))
     ends = F.concat(F.col("dropped_at"), F.array(F.size(pieces)))
