@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import release, small
 
 LETTERS = "enta"
+MOST = 20
 SHIFT = 1 << 31
 
 
@@ -143,27 +144,75 @@ def near_pairs(classes: DataFrame, max_edits: int) -> DataFrame:
     return found.select(F.least("at", "at2").alias("low"), F.greatest("at", "at2").alias("high")).distinct()
 
 
-def dropped_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = 20, most_broadcast: int = 200_000) -> DataFrame:
-    """doc_id, pos, near of every line that goes; near: not a repetition, but near an earlier line."""
-    if min_chars <= max_edits:
-        raise ValueError("lines must be longer than the edits allowed")
+def allowed(n: Column) -> Column:
+    """Edits allowed where the shorter line has n code points: a tenth of them, MOST at most."""
+    return F.least(F.lit(MOST), F.floor(n / 10)).cast("int")
+
+
+def gram(n: Column) -> Column:
+    """Code points that are compared of each of the ``allowed(n) + 1`` segments of n (20 or more); none is shorter."""
+    return F.when(n < 40, 6).when(n < 336, 8).when(n < 672, 16).when(n < 1344, 32).otherwise(64)
+
+
+def scaled_pairs(classes: DataFrame) -> DataFrame:
+    """(low, high) as ``near_pairs`` finds them, for edits by ``allowed``.
+
+    The shorter line is indexed by the heads of its segments, the longer one probes all its windows; keys hold the windows'
+    size and the buckets of the longer line's length and of the place in it, of which the shorter one names all in reach.
+    """
+    n, line = F.col("n"), F.col("line")
+    sized = classes.withColumn("n", F.length("line")).withColumn("e", allowed(n)).withColumn("g", gram(n))
+    wide, reach = MOST + 1, 2 * MOST + 1
+
+    def index(i: Column) -> Column:
+        begin = i * F.floor(n / (F.col("e") + 1)).cast("int")
+        piece = F.substring(line, begin + 1, F.col("g"))
+        ends = [(F.floor((n + a) / wide), F.floor(F.greatest(F.lit(0), begin + b) / reach)) for a in (F.lit(0), F.col("e")) for b in (-F.col("e"), F.col("e"))]
+        return F.transform(F.array_distinct(F.array(*(F.xxhash64(F.col("g"), a, b, piece) for a, b in ends))), lambda k: F.struct(begin.alias("p"), k.alias("k")))
+
+    x = sized.select("at", "n", "e", F.inline(F.flatten(F.transform(F.sequence(F.lit(0), F.col("e")), index))))
+    blocks = sized.select("at", "n", F.explode(F.array_distinct(F.array(F.col("g"), gram(n - F.col("e"))))).alias("g"), "line")
+    # long lines are cut first: a substring is found by walking to it
+    blocks = blocks.select("at", "n", "g", F.explode(F.sequence(F.lit(0), n - F.col("g"), F.lit(512))).alias("base"), "line").select("at", "n", "g", "base", F.substring(line, F.col("base") + 1, F.col("g") + 511).alias("part"))
+
+    def window(p: Column) -> Column:
+        at = F.col("base") + p
+        return F.struct(at.alias("p2"), F.xxhash64(F.col("g"), F.floor(n / wide), F.floor(at / reach), F.substring(F.col("part"), p + 1, F.col("g"))).alias("k2"))
+
+    y = blocks.select(F.col("at").alias("at2"), n.alias("n2"), F.inline(F.transform(F.sequence(F.lit(0), F.length("part") - F.col("g")), window)))
+    fits = (F.col("at") != F.col("at2")) & (F.col("n2") - F.col("n")).between(0, F.col("e")) & (F.abs(F.col("p2") - F.col("p")) <= F.col("e"))
+    return x.join(y, (F.col("k") == F.col("k2")) & fits).select(F.least("at", "at2").alias("low"), F.greatest("at", "at2").alias("high")).distinct()
+
+
+def within_scaled(x: Column, y: Column) -> Column:
+    return F.levenshtein(x, y, MOST).between(0, allowed(F.least(F.length(x), F.length(y))))
+
+
+def dropped_lines(docs: DataFrame, max_edits: int | None = 1, min_chars: int = 20, most_broadcast: int = 200_000) -> DataFrame:
+    """doc_id, pos, near of every line that goes; near: not a repetition, but near an earlier line.
+
+    Without ``max_edits`` the edits follow the lines' length by ``allowed``.
+    """
+    if min_chars <= (19 if max_edits is None else max_edits):
+        raise ValueError("lines must be longer than the edits allowed, and of 20 code points where those follow the length")
     lines = exploded(docs, max(1, min_chars))
     h = F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("again"), F.col("line")).alias("h2")
-    pairs = small(near_pairs(lines.groupBy("line").agg(F.min(place()).alias("at")), max_edits))
+    classes = lines.groupBy("line").agg(F.min(place()).alias("at"))
+    pairs = small(scaled_pairs(classes) if max_edits is None else near_pairs(classes, max_edits))
     ends = small(pairs.select(F.col("low").alias("at")).union(pairs.select(F.col("high").alias("at"))).distinct().withColumn("pos", F.pmod("at", F.lit(SHIFT)).cast("int")).select("at", F.expr(f"(at - pos) div {SHIFT}").cast("long").alias("doc_id"), "pos"))
     few = ends.count() <= most_broadcast
     release(docs.sparkSession)  # the texts and segments that were dealt out
     needed, holders = (F.broadcast(x) if few else x for x in (ends, ends.select("doc_id").distinct()))
     texts = exploded(docs.join(holders, "doc_id", "left_semi"), min_chars).join(needed, ["doc_id", "pos"]).select("at", "line", *h).distinct()
     a, b = texts.select(F.col("at").alias("low"), F.col("line").alias("x")), texts.select(F.col("at").alias("high"), F.col("line").alias("y"), "h1", "h2")
-    gone = small(pairs.join(a, "low").join(b, "high").where(within_edits(F.col("x"), F.col("y"), max_edits)).select("h1", "h2").distinct())
+    gone = small(pairs.join(a, "low").join(b, "high").where(within_scaled(F.col("x"), F.col("y")) if max_edits is None else within_edits(F.col("x"), F.col("y"), max_edits)).select("h1", "h2").distinct())
     hashed = lines.select("doc_id", "pos", *h)
     first = hashed.groupBy("h1", "h2").agg(F.min(place()).alias("at"), F.count("*").alias("c")).join(gone.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
     judged = small(first.where("c > 1 or near").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near")))
     return hashed.join(judged, ["h1", "h2"]).where(F.col("near") | (place() != F.col("at"))).select("doc_id", "pos", (F.col("near") & (place() == F.col("at"))).alias("near")).distinct()
 
 
-def deduplicated(df: DataFrame, max_edits: int = 1, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(df: DataFrame, max_edits: int | None = 1, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns, the text without its dropped lines, and the columns lines_repeated and lines_near (counts)."""
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lines = dropped_lines(narrow, max_edits, min_chars)

@@ -27,14 +27,23 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_digests(spark: SparkSession, sf_dir: str, **rule) -> DataFrame:
     from .lines import deduplicated
 
-    out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), **rule)
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "lines_repeated", "lines_near", F.length(text).cast("long").alias("chars_left"), F.sha2(text, 256).alias("text_sha256"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digests(spark, sf_dir)
+
+
+def op4_whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4_lines with edits that follow the lines' length; op4_lines stays on the rule of its SQL."""
+    return line_digests(spark, sf_dir, max_edits=None)
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import search
 
@@ -72,7 +81,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_packing, op4_lines, op5_ann, op6_langid, op7_token_counts, op8_pii, op9_winnowing, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_packing, op4_lines, op5_ann, op6_langid, op7_token_counts, op8_pii, op9_winnowing, op10_jaccard, op4_whole_lines)}
 #: Lines of 20 code points and more; equal ones stay once, and none that is one edit from an earlier one. levenshtein counts
 #: bytes here, so it only narrows the pairs.
 LINES_SQL = """
