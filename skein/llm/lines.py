@@ -188,16 +188,18 @@ def within_scaled(x: Column, y: Column) -> Column:
     return F.levenshtein(x, y, MOST).between(0, allowed(F.least(F.length(x), F.length(y))))
 
 
-def dropped_lines(docs: DataFrame, max_edits: int | None = 1, min_chars: int = 20, most_broadcast: int = 200_000) -> DataFrame:
+def dropped_lines(docs: DataFrame, max_edits: int | None = 1, min_chars: int = 20, most_broadcast: int = 200_000, every_repeat: bool = False) -> DataFrame:
     """doc_id, pos, near of every line that goes; near: not a repetition, but near an earlier line.
 
+    With ``every_repeat`` exact repetitions of all lines that are not empty go; ``min_chars`` is then for near lines only.
+
     Without ``max_edits`` the edits follow the lines' length by ``allowed``.
     """
     if min_chars <= (19 if max_edits is None else max_edits):
         raise ValueError("lines must be longer than the edits allowed, and of 20 code points where those follow the length")
-    lines = exploded(docs, max(1, min_chars))
+    lines = exploded(docs, 1 if every_repeat else max(1, min_chars))
     h = F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("again"), F.col("line")).alias("h2")
-    classes = lines.groupBy("line").agg(F.min(place()).alias("at"))
+    classes = lines.where(F.length("line") >= min_chars).groupBy("line").agg(F.min(place()).alias("at"))
     pairs = small(scaled_pairs(classes) if max_edits is None else near_pairs(classes, max_edits))
     ends = small(pairs.select(F.col("low").alias("at")).union(pairs.select(F.col("high").alias("at"))).distinct().withColumn("pos", F.pmod("at", F.lit(SHIFT)).cast("int")).select("at", F.expr(f"(at - pos) div {SHIFT}").cast("long").alias("doc_id"), "pos"))
     few = ends.count() <= most_broadcast
@@ -212,10 +214,10 @@ def dropped_lines(docs: DataFrame, max_edits: int | None = 1, min_chars: int = 2
     return hashed.join(judged, ["h1", "h2"]).where(F.col("near") | (place() != F.col("at"))).select("doc_id", "pos", (F.col("near") & (place() == F.col("at"))).alias("near")).distinct()
 
 
-def deduplicated(df: DataFrame, max_edits: int | None = 1, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(df: DataFrame, max_edits: int | None = 1, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", every_repeat: bool = False) -> DataFrame:
     """All rows and columns, the text without its dropped lines, and the columns lines_repeated and lines_near (counts)."""
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = dropped_lines(narrow, max_edits, min_chars)
+    lines = dropped_lines(narrow, max_edits, min_chars, every_repeat=every_repeat)
     by_doc = lines.groupBy(F.col("doc_id").alias("dropped_id")).agg(F.array_sort(F.collect_list("pos")).alias("dropped_at"), F.sum(F.col("near").cast("int")).alias("dropped_near"))
     out = df.join(by_doc, F.col(id_col).cast("long") == F.col("dropped_id"), "left")
     pieces = F.split(F.col(text_col), "\n")

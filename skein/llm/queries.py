@@ -40,8 +40,8 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4_lines with edits that follow the lines' length; op4_lines stays on the rule of its SQL."""
-    return line_digests(spark, sf_dir, max_edits=None)
+    """op4_lines with edits that follow the lines' length and repeats of every length; op4_lines stays on the rule of its SQL."""
+    return line_digests(spark, sf_dir, max_edits=None, every_repeat=True)
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,10 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from skein.llm import lines
 
-from .test_llm import documents, edits, frame, texts_of
+from .test_llm import edits, frame, texts_of
 
 
 def scaled_edits(x, y):
@@ -41,7 +40,7 @@ def brute_scaled(docs, every_length=False):
     long = [x for x in first if len(x) >= 20]
     gone = {x for x in long for y in long if first[y] < first[x] and abs(len(x) - len(y)) <= scaled_edits(x, y) and near(x, y)}
     least = 1 if every_length else 20
-    return {i: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if len(x) < least or x not in gone and first[x] == (i, p)) for i, t in docs.items()}
+    return {i: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if len(x) < least or not x or x not in gone and first[x] == (i, p)) for i, t in docs.items()}
 
 
 def edited_lines(seed, sizes, letters):
@@ -64,3 +63,11 @@ def test_edits_follow_the_length(spark, sizes):
     got = texts_of(lines.deduplicated(frame(spark, docs), None))
     assert got == brute_scaled(dict(enumerate(docs)))
     assert got != texts_of(lines.deduplicated(frame(spark, docs)))
+
+
+def test_short_repeats_go(spark):
+    docs = dict(enumerate(["Les.\n\nquite a long line stays here\n今日は。", "Les.\n\n今日は。\nLet.", None, "", "a\na"]))
+    got = texts_of(lines.deduplicated(frame(spark, docs.values()), every_repeat=True))
+    assert got == {0: docs[0], 1: "\nLet.", 2: None, 3: "", 4: "a"}
+    docs = edited_lines(5, (5, 12, 21, 30), "abcd ") * 2
+    assert texts_of(lines.deduplicated(frame(spark, docs), None, every_repeat=True)) == brute_scaled(dict(enumerate(docs)), True)
