@@ -277,6 +277,13 @@ def checkpoint_retention(spark, sf_dir):
     return scoring.retention(steps, "step", 97000, 100000)
 
 
+@query("WITH s AS (SELECT DISTINCT event_id * 500 AS step FROM events), m AS (SELECT step, step >= 100000 AND (step - 100000) % 97000 = 0 AS is_milestone FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY is_milestone ORDER BY step DESC) AS r, max(step) FILTER (is_milestone) OVER () AS last FROM m) SELECT step, is_milestone, CASE WHEN is_milestone THEN r <= 5 ELSE r <= 10 AND (last IS NULL OR step >= last) END AS keep FROM r")
+def checkpoint_retention_whole(spark, sf_dir):
+    """W16 with every event as a step, so that there are milestones."""
+    steps = t(spark, sf_dir, "events").select((F.col("event_id") * 500).alias("step")).distinct()
+    return scoring.retention(steps, "step", 97000, 100000)
+
+
 @query("WITH o AS (SELECT lang AS metric, count(*)::DOUBLE AS value FROM documents GROUP BY lang), n AS (SELECT lang AS metric, avg(length(text)) AS value FROM documents WHERE lang IN ('en', 'de') GROUP BY lang UNION ALL SELECT 'new', 1.0) SELECT metric, round(coalesce(n.value, o.value), 6) AS value FROM o FULL JOIN n USING (metric)")
 def upsert_metrics(spark, sf_dir):
     """K12."""
