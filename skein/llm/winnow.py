@@ -2,7 +2,9 @@
 
 All k-grams of code points are hashed by a rolling polynomial (built by doubling over arrays); of every window of w hashes
 the smallest is kept, the rightmost of equals, with its position. Two texts that share k + w - 1 code points in a row share
-a kept hash. A text shorter than k is one gram; a text with fewer grams than a window is one window; an empty (or null)
+a kept hash, w being the larger of their windows. Unless w is given it is a sixteenth of the text's length, 1 at least and W
+at most, so a text of 2 k code points or more shares a hash with every text that keeps its first or last half and is not
+longer than it; below 2 k a half holds no whole gram. The grams are those of all lengths, so prints of any two texts compare. A text shorter than k is one gram; a text with fewer grams than a window is one window; an empty (or null)
 text has no hashes. Likeness is the Jaccard similarity of the sets of hashes (1 for two empty ones).
 
 The fingerprint as text is base64 of pairs of little-endian unsigned 32-bit numbers (hash, position).
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import id_text, map_rows
 
-K, W = 16, 48
+K, W = 8, 48
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,13 +52,17 @@ def rolling(codes: np.ndarray, k: int) -> np.ndarray:
         return mix(out[: n - k + 1])
 
 
-def winnow(text: str | None, k: int = K, w: int = W) -> np.ndarray:
+def window(length: int) -> int:
+    return min(W, max(1, length // 16))
+
+
+def winnow(text: str | None, k: int = K, w: int | None = None) -> np.ndarray:
     """Array of kept (hash, position), by position; dtype uint32 pairs."""
     h = (rolling(np.frombuffer((text or "").encode("utf-32-le"), "<u4"), k) >> np.uint64(32)).astype(np.uint64)
     n = len(h)
     if n == 0:
         return np.empty((0, 2), "<u4")
-    w = min(w, n)
+    w = min(window(len(text)) if w is None else w, n)
     key = h << np.uint64(32) | (np.uint64(0xFFFFFFFF) - np.arange(n, dtype=np.uint64))  # rightmost of equals: smallest key
     size = 1
     low = key
@@ -84,7 +90,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return same / (len(a) + len(b) - same)
 
 
-def fingerprints(df: DataFrame, k: int = K, w: int = W, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(df: DataFrame, k: int = K, w: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, hashes and positions of every row's text, without any shuffle."""
     schema = pa.schema([("doc_id", pa.int64()), ("hashes", pa.list_(pa.int64())), ("positions", pa.list_(pa.int64()))])
 
@@ -110,7 +116,7 @@ def edited(text: str, following: str) -> str:
 class Chain:
     """Takes the rows of slices in order and compares each with the one after it."""
 
-    def __init__(self, k: int, w: int):
+    def __init__(self, k: int, w: int | None):
         self.k, self.w, self.before = k, w, None
 
     def __call__(self, slice_no, guest, doc_id, text):
@@ -126,7 +132,7 @@ class Chain:
         self.before = None if guest else (doc_id, text, prints, hashes)
 
 
-def compare_with_next(df: DataFrame, k: int = K, w: int = W, slices: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_with_next(df: DataFrame, k: int = K, w: int | None = None, slices: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last half gives way to the head of the next document's.
 
     The next document is that of the next smaller doc_id; after the last the first again; rows of one doc_id follow by

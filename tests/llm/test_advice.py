@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from skein.llm import lines
+from skein.llm import lines, winnow
 
 from .test_llm import edits, frame, texts_of
 
@@ -71,3 +71,12 @@ def test_short_repeats_go(spark):
     assert got == {0: docs[0], 1: "\nLet.", 2: None, 3: "", 4: "a"}
     docs = edited_lines(5, (5, 12, 21, 30), "abcd ") * 2
     assert texts_of(lines.deduplicated(frame(spark, docs), None, every_repeat=True)) == brute_scaled(dict(enumerate(docs)), True)
+
+
+def test_half_of_a_short_text_is_found():
+    rng = random.Random(3)
+    for n in [*range(16, 130), 500, 767, 768, 3000]:
+        text, following = ("".join(rng.choice("abcdefgh 日é") for _ in range(n)) for _ in range(2))
+        new = winnow.edited(text, following)
+        assert len(new) == n and set(winnow.winnow(text)[:, 0]) & set(winnow.winnow(new)[:, 0])
+        assert set(winnow.winnow(text)[:, 0]) & set(winnow.winnow(winnow.edited(text, ""))[:, 0])
