@@ -50,6 +50,35 @@ def covariance_table(df: DataFrame, dims: int, vector: str = "embedding", *group
     return wide.select(*group, F.inline(cells))
 
 
+def whole_covariance(df: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
+    """One row for each group and pair of dimensions (i <= j), from sums and d x d matrices that each task adds up.
+
+    Vectors are of one length; rows without one are left out.
+    """
+    kind = dict(df.dtypes)[group]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for b in batches:
+            for label, part in b.groupby("label", dropna=False):
+                x = np.stack(part["v"].to_list()).astype(np.float64)
+                n, s, g = sums.get(label := None if pd.isna(label) else label, (0, 0.0, 0.0))
+                sums[label] = n + len(x), s + x.sum(0), g + x.T @ x
+        for label, (n, s, g) in sums.items():
+            yield pd.DataFrame({"label": [label], "n": [n], "s": [s.tobytes()], "g": [g.tobytes()]})
+
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        n = int(parts["n"].sum())
+        mean = sum(np.frombuffer(x) for x in parts["s"]) / n
+        d = len(mean)
+        cov = (sum(np.frombuffer(x) for x in parts["g"]).reshape(d, d) - n * np.outer(mean, mean)) / max(1, n - 1)
+        i, j = np.triu_indices(d)
+        return pd.DataFrame({"label": [parts["label"].iloc[0]] * len(i), "i": i, "j": j, "mean_i": mean[i], "cov": cov[i, j] if n > 1 else [None] * len(i)})
+
+    parts = df.select(F.col(group).alias("label"), F.col(vector).alias("v")).where("v is not null").mapInPandas(partial, f"label {kind}, n long, s binary, g binary")
+    return parts.groupBy("label").applyInPandas(add, f"label {kind}, i int, j int, mean_i double, cov double").withColumnRenamed("label", group)
+
+
 def frechet(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], eps: float = 1e-6) -> float:
     """|m1 - m2|^2 + tr(S1) + tr(S2) - 2 tr(sqrt(S1 S2)), by the symmetric form of the product."""
     (m1, s1), (m2, s2) = a, b

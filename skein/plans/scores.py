@@ -183,6 +183,12 @@ def mean_cov(spark, sf_dir):
     return rounded(manifold.covariance_table(t(spark, sf_dir, "embeddings"), 4, "embedding", "label"), "mean_i", "cov")
 
 
+@query("WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) SELECT a.label, a.i, b.i AS j, round(avg(a.x), 6) AS mean_i, round(covar_samp(a.x, b.x), 6) AS cov FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.label, a.i, b.i")
+def mean_cov_whole(spark, sf_dir):
+    """A30 over all dimensions."""
+    return rounded(manifold.whole_covariance(t(spark, sf_dir, "embeddings"), "label"), "mean_i", "cov")
+
+
 @query()
 def frechet(spark, sf_dir):
     """Distance of the even ids' vectors from the odd ones'."""
