@@ -5,23 +5,24 @@ For every prefix of a pre-token the last token of that prefix's encoding is uniq
 stand after the stored last token of the shorter prefix, as a pair test tells. Following the stored tokens back from the
 end gives the ids that repeated merging would give.
 
-Nulls count as empty text. Empty text has no ids. Whole texts are encoded; a memory of at most ``most`` words is kept per
-worker, so very long texts need no more than their own words. Repeated rows give repeated results; other columns pass by.
+Nulls count as empty text. Empty text has no ids. An empty table gives no rows. Whole texts are encoded, a row at a time: a
+very long text needs memory for itself and its ids, and the memories of words that a worker keeps are bounded in bytes (long
+words are not kept). There are no ties: the ids are unique. Repeated rows give repeated results; other columns pass by.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, id_text, map_rows, vocabulary
+from .common import Memo, hold, id_text, map_rows, vocabulary
 
 #: Stands for the end-of-word suffix inside the automaton; a private character that byte-level text never holds.
 END = ""
@@ -30,6 +31,11 @@ SPACE = "\t-\r\x20\x85\xa0  -     　"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
 
 
+def unassigned() -> np.ndarray:
+    """For each code point whether ``unicodedata`` does not know it yet."""
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+
+
 def byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -38,9 +44,9 @@ def byte_letters() -> dict[int, str]:
 
 
 class PrefixEncoder:
-    """Encoder and decoder for one vocabulary of the ``tokenizers`` format with word ends; ``most`` bounds each memory of words."""
+    """Encoder and decoder for one vocabulary of the ``tokenizers`` format with word ends; ``most`` and ``most_bytes`` bound each memory of words."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 500_000, most_bytes: int = 96 << 20):
         import ahocorasick
 
         with open(path, encoding="utf-8") as f:
@@ -79,9 +85,12 @@ class PrefixEncoder:
         self.automaton.make_automaton()
         self.letter = byte_letters()
         self.words = regex.compile(WORDS)
-        self.fits = Memo(lambda pair: self._crossing(pair) is None, 1_000_000)
-        self.word = Memo(self._word, most)
-        self.chunk = Memo(self._chunk, most)
+        #: Of code points that are newer than this interpreter, the library alone knows case, class and normal form.
+        self.unknown = unassigned()
+        self.path, self._library = path, None
+        self.fits = Memo(lambda pair: self._crossing(pair) is None, 500_000)
+        self.word = Memo(self._word, most, most_bytes)
+        self.chunk = Memo(self._chunk, most, most_bytes)
 
     def _inner(self, token: str) -> str:
         return token[: -len(self.suffix)] + END if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix) else token
@@ -137,7 +146,9 @@ class PrefixEncoder:
         return out
 
     def _word(self, word: str) -> tuple[str, str, int]:
-        plain = word if word.isascii() and word.isalpha() else "".join([self.letter[b] for b in word.encode()])
+        return self._letters(word if word.isascii() and word.isalpha() else "".join([self.letter[b] for b in word.encode()]))
+
+    def _letters(self, plain: str) -> tuple[str, str, int]:
         ids = self.encode_word(plain + END if self.suffix else plain)
         return " ".join(map(str, ids)), " ".join([self.strings[i] for i in ids]), len(ids)
 
@@ -156,13 +167,25 @@ class PrefixEncoder:
             return text.split()
         return [r for r in re.split(f"[{SPACE}]+", text) if r]
 
+    def _parts(self, text: str) -> list[tuple[str, str, int]]:
+        """Of a text without special tokens."""
+        if text.isascii() or not self.unknown[np.frombuffer(text.encode("utf-32-le"), "<u4")].any():
+            chunk = self.chunk
+            return [chunk[r] for r in self._runs(text)]
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        split = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
+        return [self._letters(word) for word, _ in split]
+
     def pieces(self, text: str) -> list[tuple[str, str, int]]:
-        out, at, chunk = [], 0, self.chunk
-        for m in self.special_split.finditer(text) if self.special_split and "<" in text else ():
-            out += [chunk[r] for r in self._runs(text[at : m.start()])]
+        out, at = [], 0
+        for m in self.special_split.finditer(text) if self.special_split else ():
+            out += self._parts(text[at : m.start()])
             out.append((str(self.special[m[0]]), m[0], 1))
             at = m.end()
-        out += [chunk[r] for r in self._runs(text[at:] if at else text)]
+        out += self._parts(text[at:] if at else text)
         return [x for x in out if x[2]]
 
     def encode(self, text: str | None) -> list[int]:
@@ -173,9 +196,8 @@ class PrefixEncoder:
         return " ".join(self.strings[i] for i in ids)
 
 
-@functools.cache
 def encoder(path: str) -> PrefixEncoder:
-    return PrefixEncoder(path)
+    return hold(("prefixes", path), lambda: PrefixEncoder(path))
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

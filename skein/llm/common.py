@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import uuid
@@ -41,11 +42,11 @@ def map_rows(df: DataFrame, start: Callable[[], Callable[..., Iterable[tuple]]],
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = start()
+        each = begin(start)
         out: list[tuple] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):  # few Python strings at a time
-                for row in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
+            for at in range(0, batch.num_rows, FEW):
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, FEW).columns), strict=True):
                     out.extend(each(*row))
                     if len(out) >= rows_per_batch:
                         yield to_batch(out, schema)
@@ -58,64 +59,136 @@ def map_rows(df: DataFrame, start: Callable[[], Callable[..., Iterable[tuple]]],
                     out = []
         if out:
             yield to_batch(out, schema)
+        tidy()
 
     return df.mapInArrow(run, ddl)
 
 
+def map_column(df: DataFrame, col: str, start: Callable[[], Callable], keep: bool = False) -> DataFrame:
+    """The same rows and columns with ``start()``'s function applied to one text column, a few rows at a time; with ``keep``
+    the function says instead which rows stay. Other columns are handed through as they are, whatever their names."""
+    at_col = df.columns.index(col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = begin(start)
+        for batch in batches:
+            for at in range(0, batch.num_rows, FEW):
+                rows = batch.slice(at, FEW)
+                column = rows.column(at_col)
+                out = [each(x) for x in column.to_pylist()]
+                if keep:
+                    yield rows.filter(pa.array(out, pa.bool_()))
+                else:
+                    columns = list(rows.columns)
+                    columns[at_col] = pa.array(out, column.type)
+                    yield pa.RecordBatch.from_arrays(columns, schema=rows.schema)
+        tidy()
+
+    return df.mapInArrow(run, df.schema)
+
+
+#: Rows whose values are Python objects at one time.
+FEW = 64
+_held: dict = {}
+_asked = False
+
+
+def hold(key, build: Callable):
+    """What ``build`` makes, kept in this process for later tasks that ask for the same; one thing is kept at a time, so
+    workers that serve one operator after the other do not pile up vocabularies."""
+    global _asked
+    _asked = True
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
+def begin(start: Callable):
+    """``start()``; what an earlier operator held in this process goes unless it is asked for again."""
+    global _asked
+    _asked = False
+    each = start()
+    if not _asked:
+        _held.clear()
+    return each
+
+
+def tidy() -> None:
+    """Give memory that a task no longer needs back to the machine: workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A fresh folder that driver and executors share: below spark.checkpoint.dir, or a test's own folder if that is unset."""
+    """A fresh folder that driver and executors share: below spark.checkpoint.dir. Where that is unset a session on this
+    machine alone, as a test's, gets a folder of its own; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = current.get() if current.isDefined() else None
     if not base:
-        base = f"/tmp/skein-shared-{os.getpid()}"  # only where the session names none, as in tests
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"/tmp/skein-shared-{os.getpid()}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, share_of_cores: float | None = None) -> DataFrame:
-    """Cut lineage by a checkpoint in the shared folder: a lost executor costs no recomputation and no data.
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, on whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    With ``share_of_cores`` it is written by so many tasks for each core, as each file costs the executors a process of its
-    own to set its rights: 1 for tables that grow with the input, less for what is small.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage by a checkpoint in the shared folder: a lost executor costs no recomputation and no data. It is written by
+    as many tasks as compute it, so none grows with the input."""
     shared_folder(df.sparkSession, "probe")  # sets a folder where none is set
-    if share_of_cores:
-        df = df.coalesce(max(1, round(df.sparkSession.sparkContext.defaultParallelism * share_of_cores)))
     return df.checkpoint(eager=True)
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``cut`` with a file for every second core."""
-    return cut(df, 0.5)
+    """``cut`` for what follows a shuffle and is far smaller than the input: each file costs the executors a process of its
+    own to set its rights, so eight reducers share one."""
+    return cut(df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism // 2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)))
 
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop at once the shuffle files of plans that nothing refers to any more; else they stay on the executors'
-    disks until the driver happens to collect its garbage."""
+    disks until the driver happens to collect its garbage. Its scheduler refers to the last job until there is another."""
     gc.collect()
+    spark.range(1).count()
     spark.sparkContext._jvm.System.gc()
 
 
 class Memo(dict):
-    """A dictionary that computes what it lacks. It holds two generations of at most ``most`` entries together: when the
-    young one is full the old one goes, so what is frequent stays."""
+    """A dictionary that computes what it lacks, in bounded memory. It holds two generations: when the young one has
+    ``most`` / 2 entries, or keys that with their values are taken to need ``most_bytes`` / 2, the old one goes, so what is
+    frequent stays. Texts of over 64 letters are computed and not kept."""
 
-    def __init__(self, compute: Callable, most: int = 300_000):
+    def __init__(self, compute: Callable, most: int = 300_000, most_bytes: int = 48 << 20):
         super().__init__()
-        self.compute, self.most, self.old = compute, most // 2, {}
+        self.compute, self.most, self.most_bytes, self.old, self.bytes = compute, most // 2, most_bytes // 2, {}, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.old = dict(self)
+        size = 0 if isinstance(key, int) else len(key)
+        if size > 64:
+            return self.compute(key)
+        if len(self) >= self.most or self.bytes >= self.most_bytes:
+            self.old, self.bytes = dict(self), 0
             self.clear()
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
         self[key] = value
+        self.bytes += 200 + 8 * size  # an entry, its key, and a value that grows with the key
         return value
