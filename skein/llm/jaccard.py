@@ -23,6 +23,7 @@ join, and each of them is returned. Rows without doc_id are returned with compon
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, id_text, map_rows, small
+from .common import cut, id_text, map_rows, small
 
 SKETCH_BITS, CHUNK_BITS, WORDS64 = 22, 16, 16
 SALTS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7)
@@ -44,25 +45,81 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+GAP = re.compile(rb"[\x20\x09-\x0d]")
+#: Fixed bytes: white space, and A-Z on a-z.
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = np.arange(256, dtype=np.uint64)
+_BYTES[65:91] += np.uint64(32)
+LETTER = mix(_BYTES + np.uint64(0x5851F42D4C957F2D))
+#: Words are hashed together, in blocks of texts, as differences of one polynomial's running sums; a word's place is divided
+#: out by powers of the base's inverse. Longer words than LONG, where such sums are weak, are hashed one by one.
+BLOCK, LONG = 1 << 15, 200
+FACTOR = 0xD6E8FEB86659FD93
+INVERSE = pow(FACTOR, -1, 1 << 64)
+
+
+def powers(base: int) -> np.ndarray:
+    out = np.full(BLOCK + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+POWER, BACK = powers(FACTOR), powers(INVERSE)
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A hash of each word (run of anything but ASCII white space, A-Z lower-cased), in the text's order."""
+    import xxhash
+
+    if len(data) > BLOCK:  # cut at the last white space in reach; a longer word stands alone
+        out, at = [], 0
+        while at < len(data):
+            end = len(data)
+            if end - at > BLOCK:
+                blanks = np.flatnonzero(BLANK[np.frombuffer(data, np.uint8, BLOCK, at)])
+                if len(blanks):
+                    end = at + int(blanks[-1]) + 1
+                else:
+                    m = GAP.search(data, at + BLOCK)
+                    end = m.end() if m else end
+            if end - at > BLOCK:
+                word = data[at:end].strip()
+                out.append(np.array([xxhash.xxh3_64_intdigest(word.lower())], np.uint64))
+            else:
+                out.append(word_hashes(data[at:end]))
+            at = end
+        return np.concatenate(out)
+    raw = np.frombuffer(data, np.uint8)
+    edge = np.flatnonzero(np.diff(BLANK[raw], prepend=True, append=True))
+    begin, end = edge[::2], edge[1::2]
+    if not len(begin):
+        return np.empty(0, np.uint64)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(LETTER[raw] * POWER[: len(raw)], out=sums[1:])
+    size = end - begin
+    h = mix((sums[end] - sums[begin]) * BACK[begin] + size.astype(np.uint64))
+    for i in np.flatnonzero(size > LONG):
+        h[i] = xxhash.xxh3_64_intdigest(data[begin[i] : end[i]].lower())
+    return h
+
+
 class Shingler:
     """Sorted distinct n-gram hashes of a text."""
 
     def __init__(self, words: int):
-        import xxhash
-
-        self.n, self.memo = words, Memo(xxhash.xxh3_64_intdigest, 300_000)
+        self.n = words
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()  # of bytes: ASCII white space, A-Z only
-        if not words:
+        w = word_hashes((text or "").encode())
+        if not len(w):
             return np.empty(0, np.uint64)
-        memo = self.memo
-        w = np.array([memo[x] for x in words], np.uint64)
         n = min(self.n, len(w))
         h = mix(w[: len(w) - n + 1] + np.uint64(n))
         for k in range(1, n):
             h = mix(h + w[k : len(w) - n + 1 + k])
-        return np.unique(h)
+        h.sort()
+        return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 def frequency_sketch(docs: DataFrame, words: int) -> np.ndarray:
@@ -70,13 +127,22 @@ def frequency_sketch(docs: DataFrame, words: int) -> np.ndarray:
 
     class Count:
         def __init__(self):
-            self.shingles, self.total = Shingler(words), np.zeros(1 << SKETCH_BITS, np.uint32)
+            self.shingles, self.total, self.late, self.n = Shingler(words), np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
 
         def __call__(self, text):
-            np.add.at(self.total, (self.shingles(text) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            self.late.append((self.shingles(text) >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
+            self.n += len(self.late[-1])
+            if self.n >= 1 << 20:
+                self.add()
             return ()
 
+        def add(self):
+            if self.late:
+                self.total += np.bincount(np.concatenate(self.late), minlength=len(self.total)).astype(np.uint32)
+                self.late, self.n = [], 0
+
         def finish(self):
+            self.add()
             for c, part in enumerate(self.total.reshape(-1, 1 << CHUNK_BITS)):
                 if part.any():
                     yield c, zlib.compress(part.tobytes(), 1)
@@ -172,15 +238,15 @@ def components(links: DataFrame) -> DataFrame:
 def link_documents(df: DataFrame, words: int = 3, percent: int = 90, crowd: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     docs = id_text(df, id_col, text_col)
-    rows = cut(digest_sets(docs, words, percent, frequency_sketch(docs, words)), 1)
+    rows = cut(digest_sets(docs, words, percent, frequency_sketch(docs, words)))
     classes = small(rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")))
     kept = rows.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi")
     tokens = kept.select("doc_id", F.explode("p1").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    meet = cut(tokens.join(shared, "token"), 1)
+    meet = cut(tokens.join(shared, "token"))
     own = meet.groupBy("doc_id").agg(F.count("*").alias("common"), F.max("c").alias("most"))
     signatures = [f"s{k}" for k in range(WORDS64)]
-    about = cut(kept.join(own, "doc_id").select("doc_id", "n", (F.size("p1") - F.col("common")).alias("alone"), "most", "p2", "p3", *signatures), 1)
+    about = cut(kept.join(own, "doc_id").select("doc_id", "n", (F.size("p1") - F.col("common")).alias("alone"), "most", "p2", "p3", *signatures))
 
     def alike(a: str, b: str):
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -208,7 +274,7 @@ def link_documents(df: DataFrame, words: int = 3, percent: int = 90, crowd: int
     # n-grams whose classes are all in one component need no more pairs
     parts = light.select("doc_id", "part")
     mixed = meet.join(parts, "doc_id").groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
-    spread = cut(meet.select("token", "doc_id").join(mixed, "token").join(light, "doc_id"), 1)
+    spread = cut(meet.select("token", "doc_id").join(mixed, "token").join(light, "doc_id"))
     x, y = spread.alias("x"), spread.alias("y")
     found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.part") != F.col("y.part")) & alike("x", "y"))
     pairs = small(filtered(found.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()))
