@@ -16,12 +16,10 @@ import functools
 import hashlib
 import re
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import id_text, map_rows
+from .common import id_text, map_column, map_rows
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
@@ -173,8 +171,4 @@ def find_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def mask_documents(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns with personal data masked in the text column; nulls stay null."""
 
-    @F.pandas_udf("string")
-    def mask(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: masked(t, find(t)) if t is not None else None)
-
-    return df.withColumn(text_col, mask(F.col(text_col)))
+    return map_column(df, text_col, lambda: lambda text: masked(text, find(text)) if text is not None else None)

@@ -16,15 +16,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, id_text, map_rows
+from .common import Memo, id_text, map_column, map_rows
 
 WORD = re.compile(r"\w+")
 BITS = 18
@@ -147,12 +145,10 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], threshold:
 
 
 def keep_clean(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows, all columns as they are, whose score is below the threshold."""
+    """The rows, all columns as they are, whose score is below the threshold; a null text is scored as an empty one."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = scorer(model)
-        for texts in batches:
-            yield texts.map(one).astype("float64")
+    def start():
+        score = scorer(model)
+        return lambda text: score(text) < threshold
 
-    return docs.where(score(F.coalesce(F.col(text_col), F.lit(""))) < threshold)
+    return map_column(docs, text_col, start, keep=True)
