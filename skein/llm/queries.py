@@ -27,23 +27,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-def line_digests(spark: SparkSession, sf_dir: str, **rule) -> DataFrame:
-    from .lines import deduplicated
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import BY_LENGTH, deduplicated
 
-    out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), **rule)
+    out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), BY_LENGTH, every_repeat=True)
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "lines_repeated", "lines_near", F.length(text).cast("long").alias("chars_left"), F.sha2(text, 256).alias("text_sha256"))
 
 
-def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_digests(spark, sf_dir)
-
-
-def op4_whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4_lines with edits that follow the lines' length and repeats of every length; op4_lines stays on the rule of its SQL."""
-    return line_digests(spark, sf_dir, max_edits=None, every_repeat=True)
-
-
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import search
 
@@ -81,26 +72,35 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_packing, op4_lines, op5_ann, op6_langid, op7_token_counts, op8_pii, op9_winnowing, op10_jaccard, op4_whole_lines)}
-#: Lines of 20 code points and more; equal ones stay once, and none that is one edit from an earlier one. levenshtein counts
-#: bytes here, so it only narrows the pairs.
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_packing, op4_lines, op5_ann, op6_langid, op7_token_counts, op8_pii, op9_winnowing, op10_jaccard)}
+#: Equal lines stay once, and none of 20 code points and more that is near an earlier one: 1 edit from 20 code points of the
+#: shorter line on, 2 from 256, 3 from 512, 4 from 1,024. levenshtein counts bytes here: where a pair is not all ASCII, the
+#: code points that both lines have are written as one byte each, and any other as one that the other line lacks.
 LINES_SQL = """
 WITH l AS (
-  SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents
-), o AS (SELECT doc_id, pos, line FROM l WHERE length(line) >= 20),
-c AS (SELECT line, length(line) AS n, min({'d': doc_id, 'p': pos}) AS at FROM o GROUP BY line),
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents
+), c AS (SELECT line, length(line) AS n, min({'d': doc_id, 'p': pos}) AS at FROM l WHERE line <> '' GROUP BY line),
+f AS (
+  SELECT *, CASE WHEN n >= 1024 THEN 4 WHEN n >= 512 THEN 3 WHEN n >= 256 THEN 2 ELSE 1 END AS e,
+    n - length(replace(line, 'e', '')) AS c1, n - length(replace(line, 'n', '')) AS c2, n - length(replace(line, 't', '')) AS c3,
+    n - length(replace(line, 'a', '')) AS c4, n - length(replace(line, ' ', '')) AS c5, n - length(replace(line, 'o', '')) AS c6
+  FROM c WHERE n >= 20
+), s AS (SELECT *, unnest(range(n, n + e + 1)) AS m FROM f),
 p AS (
-  SELECT a.line AS x, b.line AS y FROM c a JOIN c b ON a.n = b.n AND a.at < b.at AND levenshtein(a.line, b.line) <= 4
-  UNION ALL SELECT a.line, b.line FROM c a JOIN c b ON a.n = b.n + 1 AND a.at < b.at AND levenshtein(a.line, b.line) <= 4
-  UNION ALL SELECT a.line, b.line FROM c a JOIN c b ON a.n + 1 = b.n AND a.at < b.at AND levenshtein(a.line, b.line) <= 4
-), q AS (SELECT y, CASE WHEN length(x) >= length(y) THEN x ELSE y END AS s, CASE WHEN length(x) >= length(y) THEN y ELSE x END AS t FROM p),
-g AS (
-  SELECT DISTINCT y FROM q WHERE (length(s) = length(t) AND list_sum(list_transform(range(1, length(s) + 1), lambda i: (s[i] <> t[i])::INT)) <= 1)
-  OR (length(s) = length(t) + 1 AND list_bool_or(list_transform(range(0, length(s)), lambda i: left(s, i) || substr(s, i + 2) = t)))
+  SELECT s.line AS x, f.line AS y, s.e, s.at AS ax, f.at AS ay FROM s JOIN f ON s.m = f.n AND s.line <> f.line
+    AND abs(s.c1 - f.c1) + abs(s.c2 - f.c2) + abs(s.c3 - f.c3) + abs(s.c4 - f.c4) + abs(s.c5 - f.c5) + abs(s.c6 - f.c6) <= 2 * s.e
+), q AS (
+  SELECT CASE WHEN ax < ay THEN y ELSE x END AS later, x, y, e, levenshtein(x, y) AS b,
+    list_intersect(string_split(x, ''), string_split(y, '')) AS shared
+  FROM p WHERE levenshtein(x, y) <= 4 * e
+), g AS (
+  SELECT DISTINCT later FROM q WHERE CASE WHEN b <= e THEN true WHEN strlen(x) = length(x) AND strlen(y) = length(y) THEN false
+    ELSE levenshtein(array_to_string(list_transform(string_split(x, ''), lambda a: chr(coalesce(list_position(shared, a), 0)::INT + 2)), ''),
+      array_to_string(list_transform(string_split(y, ''), lambda a: chr(CASE WHEN list_contains(shared, a) THEN list_position(shared, a)::INT + 2 ELSE 1 END)), '')) <= e END
 ), d AS (
-  SELECT l.doc_id, l.pos, l.line, c.line IS NOT NULL AND (g.y IS NOT NULL OR {'d': l.doc_id, 'p': l.pos} <> c.at) AS gone,
-    c.line IS NOT NULL AND g.y IS NOT NULL AND {'d': l.doc_id, 'p': l.pos} = c.at AS near
-  FROM l LEFT JOIN c ON l.line = c.line LEFT JOIN g ON l.line = g.y
+  SELECT l.doc_id, l.pos, l.line, c.line IS NOT NULL AND (g.later IS NOT NULL OR {'d': l.doc_id, 'p': l.pos} <> c.at) AS gone,
+    c.line IS NOT NULL AND g.later IS NOT NULL AND {'d': l.doc_id, 'p': l.pos} = c.at AS near
+  FROM l LEFT JOIN c ON l.line = c.line LEFT JOIN g ON l.line = g.later
 ), r AS (
   SELECT doc_id, count(*) FILTER (gone AND NOT near) AS lines_repeated, count(*) FILTER (near) AS lines_near,
     coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS t FROM d GROUP BY doc_id

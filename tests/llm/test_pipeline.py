@@ -3,7 +3,8 @@
 import corpus_pipeline as p
 from skein.llm import lines, toxicity
 
-from .test_llm import brute_components, brute_lines, frame, texts_of
+from .test_lines import steps_of
+from .test_llm import brute_components, brute_lines, edits, frame, texts_of
 
 D = "/root/testdata/sf0.001"
 
@@ -28,34 +29,25 @@ def test_stages_keep_columns_and_take_effect(spark):
 
 
 def brute_lines_fast(docs):
-    """brute_lines at one edit, by neighbours that lack a letter."""
-    from collections import defaultdict
+    """The rule of lines.BY_LENGTH by plain tables of distances, for pairs whose lengths and letters can be near."""
+    from collections import Counter, defaultdict
 
     first = {}
     for i in sorted(docs):
         for k, x in enumerate((docs[i] or "").split("\n")):
-            if len(x) >= 20:
-                first.setdefault(x, (i, k))
-    cuts = defaultdict(set)
-    for x in first:
-        for v in {x, *(x[:k] + x[k + 1 :] for k in range(len(x)))}:
-            cuts[v].add(x)
-    close = defaultdict(set)
-    for group in cuts.values():
-        if len(group) > 1:
-            for x in group:
-                close[x] |= group
-    few = {x for x in first if close[x]}
-    near = {x for x in few for y in close[x] if first[y] < first[x] and one_edit(x, y)}
-    gone = {(i, k) for i in docs for k, x in enumerate((docs[i] or "").split("\n")) if len(x) >= 20 and (x in near or first[x] != (i, k))}
-    return {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if (i, k) not in gone) for i, t in docs.items()}
-
-
-def one_edit(x, y):
-    if len(x) == len(y):
-        return sum(a != b for a, b in zip(x, y)) == 1
-    x, y = sorted((x, y), key=len)
-    return len(y) - len(x) == 1 and any(y[:k] + y[k + 1 :] == x for k in range(len(y)))
+            first.setdefault(x, (i, k))
+    long = {x: Counter(x) for x in first if len(x) >= 20}
+    by_length = defaultdict(list)
+    for x in long:
+        by_length[len(x)].append(x)
+    gone = set()
+    for x, own in long.items():
+        most = steps_of(len(x))
+        for n in range(len(x), len(x) + most + 1):
+            for y in by_length[n]:
+                if x != y and sum(((own - long[y]) + (long[y] - own)).values()) <= 2 * most and edits(x, y) <= most:
+                    gone.add(max(x, y, key=first.get))
+    return {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if not x or x not in gone and first[x] == (i, k)) for i, t in docs.items()}
 
 
 def test_run(spark):
@@ -63,9 +55,9 @@ def test_run(spark):
 
 
 def test_stages_on_empty_and_odd_rows(spark):
-    docs = frame(spark, [None, "", "a line that is long enough\nb", "a line that is long enough\nb", "x@y.org"], extra=False)
+    docs = frame(spark, [None, "", "a line that is long enough\nb", "a line that is long enough\nc", "x@y.org"], extra=False)
     out = docs
     for _, f in p.STAGES[1:-1]:
         out = f(spark, out, D)
     assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2, 3, 4]
-    assert brute_lines({0: "q"}, 1, 20) == {0: "q"} and lines.LETTERS
+    assert brute_lines({0: "q"}, 1, 20) == {0: "q"} and lines.ALPHABET
