@@ -40,10 +40,16 @@ def soft_accuracy(answers: DataFrame, predictions: DataFrame, question: str = "q
     return predictions.join(scored.select(question, F.col(answer).alias(predicted), "score"), [question, predicted], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def anls(predicted: Column, truth: Column) -> Column:
-    """Edit similarity, zero below one half."""
-    longest = F.greatest(F.length(predicted), F.length(truth))
-    s = F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(predicted, truth) / longest)
+def anls(predicted: Column, truths: Column) -> Column:
+    """Edit similarity to the nearest of an array of truths, in lower case and stripped, zero below one half. Two empty
+    strings are equal; without any truth the score is 0."""
+
+    def similar(truth: Column) -> Column:
+        a, b = F.lower(F.trim(predicted)), F.lower(F.trim(truth))
+        longest = F.greatest(F.length(a), F.length(b))
+        return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
+
+    s = F.coalesce(F.array_max(F.transform(truths, similar)), F.lit(0.0))
     return F.when(s >= 0.5, s).otherwise(0.0)
 
 

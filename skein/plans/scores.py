@@ -27,16 +27,18 @@ def yesno_confusion(spark, sf_dir):
     return rounded(scoring.confusion(judged(spark, sf_dir), F.col("p"), F.col("a"), "lang"), "accuracy", "precision", "recall", "f1", "yes_ratio")
 
 
-@query(f"{JUDGED}, c AS (SELECT lang, {CONFUSED} FROM j GROUP BY lang) SELECT round(avg(2 * tp / (2 * tp + fp + fn)), 6) AS macro_f1, count(*) AS categories FROM c WHERE tp > 0")
+@query(f"{JUDGED}, c AS (SELECT lang, {CONFUSED} FROM j GROUP BY lang) SELECT round(avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)), 6) AS macro_f1, count(*) AS categories FROM c")
 def macro_f1(spark, sf_dir):
-    """A9."""
-    return scoring.confusion(judged(spark, sf_dir), F.col("p"), F.col("a"), "lang").where("tp > 0").agg(r6(F.avg("f1")).alias("macro_f1"), F.count("*").alias("categories"))
+    """A category without true positives counts as 0."""
+    return scoring.confusion(judged(spark, sf_dir), F.col("p"), F.col("a"), "lang").agg(r6(F.avg(F.coalesce("f1", F.lit(0.0)))).alias("macro_f1"), F.count("*").alias("categories"))
 
 
-@query("SELECT lower(trim(regexp_extract(text, '^\\S+'), '.')) AS answer, count(*) AS n FROM benchmark WHERE NOT contains(lower(text), 'answer') GROUP BY answer")
+@query("SELECT CASE item_id % 3 WHEN 0 THEN 'w' || item_id WHEN 1 THEN 'x' || item_id ELSE 'y' || item_id END AS answer, count(*) AS n FROM benchmark GROUP BY answer")
 def single_answers(spark, sf_dir):
-    """F6, F12."""
-    return t(spark, sf_dir, "benchmark").where(~F.contains(F.lower("text"), F.lit("answer"))).groupBy(T.gqa_answer(T.single_answer(F.col("text"))).alias("answer")).agg(F.count("*").alias("n"))
+    """answers behind each marker, and without one."""
+    k = F.col("item_id").cast("string")
+    said = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("So the answer is W"), k, F.lit(" and more"))).when(F.col("item_id") % 3 == 1, F.concat(F.lit("Answer: no. ANSWER: X"), k, F.lit(".."))).otherwise(F.concat(F.lit("Y"), k, F.lit(" of them")))
+    return t(spark, sf_dir, "benchmark").groupBy(T.gqa_answer(T.single_answer(said)).alias("answer")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT round(100.0 * avg((lower(lang) = CASE WHEN doc_id % 3 = 0 THEN lang ELSE 'en' END)::INT), 6) AS accuracy, count(*) AS n FROM documents")
@@ -59,16 +61,17 @@ def soft_accuracy(spark, sf_dir):
     return scoring.soft_accuracy(answers, predictions).select("question_id", r6("score").alias("score"))
 
 
-@query("WITH p AS (SELECT substr(s_name, 1, 12) AS p, substr(s_name, 3, 14) AS g, s_suppkey FROM supplier), s AS (SELECT s_suppkey, 1 - levenshtein(p, g) / greatest(length(p), length(g)) AS s FROM p) SELECT s_suppkey, round(CASE WHEN s >= 0.5 THEN s ELSE 0 END, 6) AS anls FROM s")
+@query("WITH p AS (SELECT s_suppkey, lower(trim(' ' || s_name || ' ')) AS p, unnest(['supplier' || s_nationkey, lower(replace(s_name, '0', '')), lower(s_name || s_suppkey)]) AS g FROM supplier), s AS (SELECT s_suppkey, max(CASE WHEN 1 - levenshtein(p, trim(g)) / greatest(length(p), length(trim(g))) >= 0.5 THEN 1 - levenshtein(p, trim(g)) / greatest(length(p), length(trim(g))) ELSE 0 END) AS s FROM p GROUP BY s_suppkey) SELECT s_suppkey, round(s, 6) AS anls FROM s")
 def anls(spark, sf_dir):
-    """A13."""
+    """The best of three truths, in any case and without white space around."""
     s = t(spark, sf_dir, "supplier")
-    return s.select("s_suppkey", r6(scoring.anls(F.substring("s_name", 1, 12), F.substring("s_name", 3, 14))).alias("anls"))
+    truths = F.array(F.concat(F.lit("Supplier"), F.col("s_nationkey").cast("string")), F.replace("s_name", F.lit("0"), F.lit("")), F.concat("s_name", F.col("s_suppkey").cast("string")))
+    return s.select("s_suppkey", r6(scoring.anls(F.concat(F.lit(" "), F.upper("s_name"), F.lit(" ")), truths)).alias("anls"))
 
 
 @query("SELECT CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS lang, round(avg(quality), 6) AS accuracy, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY ROLLUP (lang)")
 def type_accuracy_rollup(spark, sf_dir):
-    """A15, A18, J7, J10."""
+    """A15, A18, J10."""
     labels = t(spark, sf_dir, "labels").where("quality is not null").select(scoring.keyed_number(F.col("doc_id").cast("string")).alias("doc_id"), "quality")
     x = t(spark, sf_dir, "documents").select("doc_id", "lang").join(labels, "doc_id")
     return scoring.with_total(x, "lang", r6(F.avg("quality")).alias("accuracy"), F.count("*").alias("n"))
@@ -83,7 +86,7 @@ def pair_score_rollup(spark, sf_dir):
 
 @query("SELECT count(*) AS n, round(count(*) FILTER (a) / count(*), 6) AS first, round(count(*) FILTER (b) / count(*), 6) AS second, round(count(*) FILTER (CASE WHEN f THEN b ELSE a END) / count(*), 6) AS fallback, round(count(*) FILTER (a OR b) / count(*), 6) AS upper_bound, round(count(*) FILTER (f) / count(*), 6) AS failed FROM (SELECT quality = 1 AS a, toxic = 0 AS b, doc_id % 5 = 0 AS f FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL)")
 def ensemble_accuracy(spark, sf_dir):
-    """A16, A17, J8, J9."""
+    """A16, A17."""
     x = t(spark, sf_dir, "labels").where("quality is not null and toxic is not null")
     return rounded(scoring.ensemble(x, F.col("quality") == 1, F.col("toxic") == 0, F.col("doc_id") % 5 == 0), "first", "second", "fallback", "upper_bound", "failed")
 
@@ -177,14 +180,8 @@ def mixed_radix_code(spark, sf_dir):
 COV_ROWS = " UNION ALL ".join(f"SELECT label, {i - 1} AS i, {j - 1} AS j, round(avg(embedding[{i}]::DOUBLE), 6) AS mean_i, round(covar_samp(embedding[{i}]::DOUBLE, embedding[{j}]::DOUBLE), 6) AS cov FROM embeddings GROUP BY label" for i in range(1, 5) for j in range(i, 5))
 
 
-@query(COV_ROWS)
-def mean_cov(spark, sf_dir):
-    """A30."""
-    return rounded(manifold.covariance_table(t(spark, sf_dir, "embeddings"), 4, "embedding", "label"), "mean_i", "cov")
-
-
 @query("WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) SELECT a.label, a.i, b.i AS j, round(avg(a.x), 6) AS mean_i, round(covar_samp(a.x, b.x), 6) AS cov FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.label, a.i, b.i")
-def mean_cov_whole(spark, sf_dir):
+def mean_cov(spark, sf_dir):
     """A30 over all dimensions."""
     return rounded(manifold.whole_covariance(t(spark, sf_dir, "embeddings"), "label"), "mean_i", "cov")
 
@@ -276,15 +273,8 @@ def ema_usage(spark, sf_dir):
     return e.select("user_id", out.alias("s")).select("user_id", F.col("s.n").cast("long").alias("n"), r6("s.m").alias("ema"))
 
 
-@query("WITH s AS (SELECT DISTINCT event_id * 500 AS step FROM events WHERE event_id % 97 = 0), m AS (SELECT step, step >= 100000 AND (step - 100000) % 97000 = 0 AS is_milestone FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY is_milestone ORDER BY step DESC) AS r, max(step) FILTER (is_milestone) OVER () AS last FROM m) SELECT step, is_milestone, CASE WHEN is_milestone THEN r <= 5 ELSE r <= 10 AND (last IS NULL OR step >= last) END AS keep FROM r")
-def checkpoint_retention(spark, sf_dir):
-    """W16."""
-    steps = t(spark, sf_dir, "events").where("event_id % 97 = 0").select((F.col("event_id") * 500).alias("step")).distinct()
-    return scoring.retention(steps, "step", 97000, 100000)
-
-
 @query("WITH s AS (SELECT DISTINCT event_id * 500 AS step FROM events), m AS (SELECT step, step >= 100000 AND (step - 100000) % 97000 = 0 AS is_milestone FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY is_milestone ORDER BY step DESC) AS r, max(step) FILTER (is_milestone) OVER () AS last FROM m) SELECT step, is_milestone, CASE WHEN is_milestone THEN r <= 5 ELSE r <= 10 AND (last IS NULL OR step >= last) END AS keep FROM r")
-def checkpoint_retention_whole(spark, sf_dir):
+def checkpoint_retention(spark, sf_dir):
     """W16 with every event as a step, so that there are milestones."""
     steps = t(spark, sf_dir, "events").select((F.col("event_id") * 500).alias("step")).distinct()
     return scoring.retention(steps, "step", 97000, 100000)
