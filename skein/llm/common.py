@@ -164,9 +164,10 @@ def small(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop at once the shuffle files of plans that nothing refers to any more; else they stay on the executors'
-    disks until the driver happens to collect its garbage. Its scheduler refers to the last job until there is another."""
+    disks until the driver happens to collect its garbage. The threads of its
+    scheduler refer to the last tasks they saw until they see others, hence the job of many tasks."""
     gc.collect()
-    spark.range(1).count()
+    spark.range(0, 64, 1, 64).count()
     spark.sparkContext._jvm.System.gc()
 
 

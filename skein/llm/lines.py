@@ -261,6 +261,7 @@ def dropped_lines(docs: DataFrame, max_edits=1, min_chars: int = 20, most_broadc
     needed = F.broadcast(ends) if ends.count() <= most_broadcast else ends
     found = exploded(docs, min_chars).select("*", *hashes()).join(needed, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "line").agg(F.min(place()).alias("at"))
     texts = small(found.withColumn("counts", F.array(*(F.length("line") - F.length(F.replace("line", F.lit(c), F.lit(""))) for c in ALPHABET))))
+    release(docs.sparkSession)
     pairs = near_pairs(meet.drop("at").join(texts.select("h1", "h2", "counts"), ["h1", "h2"]), steps, crowd)
     a, b = (texts.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("line").alias(t), F.col("at").alias(f"a{t}")) for s, t in (("a", "x"), ("b", "y")))
     true = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where(near(F.col("x"), F.col("y"), steps))
@@ -268,6 +269,7 @@ def dropped_lines(docs: DataFrame, max_edits=1, min_chars: int = 20, most_broadc
     gone = true.select(F.when(later, F.col("a1")).otherwise(F.col("b1")).alias("h1"), F.when(later, F.col("a2")).otherwise(F.col("b2")).alias("h2"), F.lit(None).cast("decimal(38,0)").alias("at"), F.lit(True).alias("near"))
     again = kept.where("at is not null").select("h1", "h2", "at", F.lit(False).alias("near"))
     judged = small(again.union(gone).groupBy("h1", "h2").agg(F.max("at").alias("at"), F.max("near").alias("near")))
+    release(docs.sparkSession)
     first = F.col("at").isNull() | (place() == F.col("at"))  # a line that does not occur again has no place there
     return lines.select("doc_id", "th", "pos", *hashes()).join(judged, ["h1", "h2"]).where(F.col("near") | ~first).select("doc_id", "th", "pos", (F.col("near") & first).alias("near")).distinct()
 
