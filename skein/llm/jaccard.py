@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, map_rows, small
+from .common import cut, id_text, map_rows, release, small
 
 SKETCH_BITS, CHUNK_BITS, WORDS64 = 22, 16, 16
 SALTS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7)
@@ -244,9 +244,11 @@ def link_documents(df: DataFrame, words: int = 3, percent: int = 90, crowd: int
     tokens = kept.select("doc_id", F.explode("p1").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     meet = cut(tokens.join(shared, "token"))
-    own = meet.groupBy("doc_id").agg(F.count("*").alias("common"), F.max("c").alias("most"))
+    release(df.sparkSession)  # prefixes that were counted and joined
+    own = meet.groupBy("doc_id").agg(F.count("*").alias("common"), F.max("c").alias("most")).join(classes.withColumnRenamed("rep", "doc_id"), "doc_id")
     signatures = [f"s{k}" for k in range(WORDS64)]
-    about = cut(kept.join(own, "doc_id").select("doc_id", "n", (F.size("p1") - F.col("common")).alias("alone"), "most", "p2", "p3", *signatures))
+    about = cut(rows.join(own, ["key", "doc_id"]).select("doc_id", "n", (F.size("p1") - F.col("common")).alias("alone"), "most", "p2", "p3", *signatures))
+    release(df.sparkSession)
 
     def alike(a: str, b: str):
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -267,6 +269,7 @@ def link_documents(df: DataFrame, words: int = 3, percent: int = 90, crowd: int
         chosen = crowded.select("token", "doc_id").join(pivots, "token").groupBy("doc_id").agg(F.min("pivot").alias("pivot")).select(F.col("doc_id").alias("a"), F.col("pivot.doc_id").alias("b")).where("a <> b")
         near = chosen.join(light.alias("x"), F.col("a") == F.col("x.doc_id")).join(light.alias("y"), F.col("b") == F.col("y.doc_id")).where(alike("x", "y")).select("a", "b")
         links = small(verified(small(filtered(near)), docs, words, percent))
+        release(df.sparkSession)
         placed = components(links)
         light = light.join(placed, light.doc_id == placed.node, "left").select("doc_id", "n", *signatures, F.coalesce("component", "doc_id").alias("part"))
     else:
@@ -280,12 +283,14 @@ def link_documents(df: DataFrame, words: int = 3, percent: int = 90, crowd: int
     pairs = small(filtered(found.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()))
     more = verified(pairs, docs, words, percent)
     placed = components(links.union(more) if links is not None else more)
+    release(df.sparkSession)
     whole = classes.join(placed, classes.rep == placed.node, "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     return rows.select("doc_id", "n", "key").join(whole, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows, all columns as they are, of the smallest doc_id of each component (and rows without doc_id)."""
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, most_broadcast: int = 200_000) -> DataFrame:
+    """The rows, all columns as they are, of the smallest doc_id of each component (and rows without doc_id). Where the ids
+    that go are at most ``most_broadcast`` they are broadcast, so the texts are not shuffled; else they are joined."""
     found = link_documents(docs, words, percent)
-    drop = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    drop = small(found.where("component_id <> doc_id").select("doc_id").distinct())
+    return docs.join(F.broadcast(drop) if drop.count() <= most_broadcast else drop, "doc_id", "left_anti")
