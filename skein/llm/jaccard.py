@@ -9,7 +9,8 @@ order n-grams of like frequency.
 
 1. Equal sets are one class, kept by its smallest doc_id.
 2. Classes that share a prefix n-gram under the first order meet in a join whose condition also holds their sizes and a
-   parity bitmap (1,024 bits) against the threshold: the bits that differ bound the symmetric difference from below.
+   parity bitmap (1,024 bits) against the threshold: the bits that differ bound the symmetric difference from below. Before
+   that, 64 bands of sizes for each n-gram tell which classes meet none of a size that could link; those need no row there.
 3. The other orders' prefixes are intersected; what is left is verified on the whole sets.
 4. Groups of many near copies would meet in all pairs. Where an n-gram is in more than ``crowd`` prefixes each class is
    therefore first verified against one pivot, the class there with the fewest prefix n-grams of its own; afterwards only
@@ -23,12 +24,13 @@ join, and each of them is returned. Rows without doc_id are returned with compon
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, id_text, map_rows, release, small
@@ -235,15 +237,29 @@ def components(links: DataFrame) -> DataFrame:
         edges = small(star.distinct())
 
 
+def size_band(percent: int) -> Column:
+    """One bit of 64 for a set's size ``n``: sizes that can link are at most two bits apart, counted in a circle. The factor
+    below 2 keeps that true whatever the rounding."""
+    step = max(math.log(100 / percent), 1e-9)
+    return F.expr(f"shiftleft(1L, cast(floor({1.999 / step!r}D * ln(n)) % 64 as int))")
+
+
+def meets(bits: str) -> Column:
+    """Whether a class of the bands ``bits`` can find another of like size among an n-gram's ``c`` classes of ``bands``: two
+    of them are in one band, or a band up to two bits away is taken."""
+    around = " | ".join(f"shiftleft({bits}, {k}) | shiftrightunsigned({bits}, {64 - k})" for k in (1, 2, 62, 63))
+    return F.expr(f"bit_count(bands) < c or (bands & ({around})) <> 0")
+
+
 def link_documents(df: DataFrame, words: int = 3, percent: int = 90, crowd: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     docs = id_text(df, id_col, text_col)
     rows = cut(digest_sets(docs, words, percent, frequency_sketch(docs, words)))
     classes = small(rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")))
     kept = rows.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi")
-    tokens = kept.select("doc_id", F.explode("p1").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    meet = cut(tokens.join(shared, "token"))
+    tokens = kept.select("doc_id", size_band(percent).alias("band"), F.explode("p1").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("c"), F.bit_or("band").alias("bands")).where("c > 1").where(meets("bands"))
+    meet = cut(tokens.join(shared, "token").where(meets("band")).select("token", "doc_id", "c"))
     release(df.sparkSession)  # prefixes that were counted and joined
     own = meet.groupBy("doc_id").agg(F.count("*").alias("common"), F.max("c").alias("most")).join(classes.withColumnRenamed("rep", "doc_id"), "doc_id")
     signatures = [f"s{k}" for k in range(WORDS64)]
