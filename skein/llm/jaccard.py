@@ -201,6 +201,32 @@ def digest_sets(docs: DataFrame, words: int, percent: int, sketch: np.ndarray) -
     return map_rows(docs, start, schema, ddl, 128)
 
 
+#: Sets of at most so many n-grams travel as 48 bits of each hash, larger ones as 64: two n-grams of a pair of sets are then
+#: taken for one in less than one pair of 60,000, which matters only to a pair that the threshold decides by one n-gram.
+MOST48 = 1 << 16
+
+
+def packed(h: np.ndarray) -> bytes:
+    """Sorted hashes as their first 6 bytes, or all 8; the first byte says which."""
+    wide = 6 if len(h) <= MOST48 else 8
+    return bytes([wide]) + h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
+
+
+def unpacked(data: bytes, wide: int) -> np.ndarray:
+    """The first ``wide`` bytes of each hash."""
+    out = np.zeros(((len(data) - 1) // data[0], 8), np.uint8)
+    out[:, :wide] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])[:, :wide]
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def same_enough(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union for two packed sets."""
+    wide = min(x[0], y[0])
+    a, b = unpacked(x, wide), unpacked(y, wide)
+    same = len(np.intersect1d(a, b, assume_unique=True)) if wide == 8 else len(np.intersect1d(a, b))
+    return same * (100 + percent) >= percent * (len(a) + len(b))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, most_broadcast: int = 200_000) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough. Their ids are broadcast if they are few, else joined."""
     ids = small(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
@@ -210,14 +236,21 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, most_b
         shingles = Shingler(words)
 
         def each(doc_id, text):
-            yield doc_id, shingles(text).view(np.int64)
+            yield doc_id, packed(shingles(text))
+
+        return each
+
+    def compare():
+        def each(a, b, x, y):
+            if same_enough(x, y, percent):
+                yield a, b
 
         return each
 
-    sets = map_rows(needed, start, pa.schema([("doc_id", pa.int64()), ("set", pa.list_(pa.int64()))]), "doc_id long, set array<long>", 64)
+    sets = map_rows(needed, start, pa.schema([("doc_id", pa.int64()), ("set", pa.binary())]), "doc_id long, set binary", 64)
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
-    same = F.size(F.array_intersect("x", "y"))
-    return pairs.join(x, "a").join(y, "b").where(same * (100 + percent) >= percent * (F.size("x") + F.size("y"))).select("a", "b").distinct()
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    return map_rows(both, compare, pa.schema([("a", pa.int64()), ("b", pa.int64())]), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
