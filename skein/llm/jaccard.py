@@ -296,7 +296,8 @@ def link_documents(df: DataFrame, words: int = 3, percent: int = 90, crowd: int
     release(df.sparkSession)  # prefixes that were counted and joined
     own = meet.groupBy("doc_id").agg(F.count("*").alias("common"), F.max("c").alias("most")).join(classes.withColumnRenamed("rep", "doc_id"), "doc_id")
     signatures = [f"s{k}" for k in range(WORDS64)]
-    about = cut(rows.join(own, ["key", "doc_id"]).select("doc_id", "n", (F.size("p1") - F.col("common")).alias("alone"), "most", "p2", "p3", *signatures))
+    wide = rows.select("key", "doc_id", "n", F.size("p1").alias("p"), "p2", "p3", *signatures)  # p1 itself stays out of the shuffle
+    about = cut(wide.join(own, ["key", "doc_id"]).select("doc_id", "n", (F.col("p") - F.col("common")).alias("alone"), "most", "p2", "p3", *signatures))
     release(df.sparkSession)
 
     def alike(a: str, b: str):
