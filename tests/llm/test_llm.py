@@ -398,3 +398,26 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)], "a long, b long")
     got = {r.node: r.component for r in jaccard.components(links).collect()}
     assert {got.get(i, i) for i in range(41)} == {0} and got[100] == got[95] == 90
+
+
+def test_packed_sets_compare_as_whole_ones():
+    rng = np.random.default_rng(5)
+    for n in [1, 2, 9, 50, 300] * 20 + [jaccard.MOST48, jaccard.MOST48 + 2000]:
+        base = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        lost = int(rng.integers(0, n // 5 + 1))
+        other = np.unique(np.concatenate([base[lost:], rng.integers(0, 2**64, lost // 2, dtype=np.uint64)]))
+        same = len(np.intersect1d(base, other))
+        for percent in (80, 90, 100):
+            assert jaccard.same_enough(jaccard.packed(base), jaccard.packed(other), percent) == (100 * same >= percent * (len(base) + len(other) - same))
+
+
+@pytest.mark.parametrize("percent", [80, 90, 100])
+def test_size_bands_lose_no_pair_that_can_link(spark, percent):
+    """Two sizes that can link are at most two bits apart, in a circle of 64."""
+    sizes = spark.range(1, 3000).withColumnRenamed("id", "n").select("n", jaccard.size_band(percent).alias("band"))
+    bit = {r.n: (r.band & (2**64 - 1)).bit_length() - 1 for r in sizes.collect()}
+    for n in bit:
+        for m in {n, -(-percent * n // 100), (n + -(-percent * n // 100)) // 2}:
+            assert min((bit[n] - bit[m]) % 64, (bit[m] - bit[n]) % 64) <= 2
+    rows = spark.createDataFrame([(2, 1 | 1 << 2, 1), (2, 1 | 1 << 3, 1), (2, 1, 1), (2, 1 | -(1 << 63), 1), (3, 1 | 1 << 9 | 1 << 20, 1), (3, 1 | 1 << 9, 1)], "c long, bands long, band long")
+    assert [r.ok for r in rows.select(jaccard.meets("band").alias("ok")).collect()] == [True, False, True, True, False, True]
