@@ -72,7 +72,13 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_packing, op4_lines, op5_ann, op6_langid, op7_token_counts, op8_pii, op9_winnowing, op10_jaccard)}
+def op11_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .target_encoding import encode_sales
+
+    return encode_sales(*(table(spark, sf_dir, t) for t in ("sale_lines", "sales", "items", "vendors", "clients")))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_packing, op4_lines, op5_ann, op6_langid, op7_token_counts, op8_pii, op9_winnowing, op10_jaccard, op11_target_encoding)}
 #: Equal lines stay once, and none of 20 code points and more that is near an earlier one: 1 edit from 20 code points of the
 #: shorter line on, 2 from 256, 3 from 512, 4 from 1,024. levenshtein counts bytes here: where a pair is not all ASCII, the
 #: code points that both lines have are written as one byte each, and any other as one that the other line lacks.
@@ -125,4 +131,37 @@ SELECT s.doc_id, len(s.g) AS n_shingles, coalesce(m.component_id, s.doc_id) AS c
 FROM s LEFT JOIN k ON s.g = k.g LEFT JOIN m ON k.rep = m.a
 """
 
-ORACLES: dict[str, str] = {"op4_lines": LINES_SQL, "op10_jaccard": JACCARD_SQL}
+#: Windows over all rows of a value less those over its rows of the same fold. CRC-32 goes by the byte, from a table.
+TARGET_SQL = """
+WITH c AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+f AS (
+  SELECT sale_id, sold_at, coalesce(client_id, -1) AS client_id,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(sale_id::VARCHAR, ''), lambda b: ascii(b)::BIGINT)), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) % 5 AS fold
+  FROM sales, c WHERE sold_at IS NOT NULL
+), l AS (
+  SELECT f.*, coalesce(l.item_id, -1) AS item_id, l.vendor_id, (l.flag = 'returned')::INT AS r, kind, v.nation_id AS nation, segment
+  FROM sale_lines l JOIN f USING (sale_id) LEFT JOIN items i ON coalesce(l.item_id, -1) = i.item_id LEFT JOIN vendors v ON l.vendor_id = v.vendor_id LEFT JOIN clients k ON f.client_id = k.client_id
+), h AS (
+  SELECT *, {columns} FROM l
+), a AS (SELECT *, CASE WHEN all_n < 1 THEN 500000 ELSE (1000000 * all_s + 50 * 500000) // (all_n + 50) END AS p FROM h),
+q AS (SELECT *, {priors} FROM a)
+SELECT sale_id, item_id, vendor_id, count(*) AS n_lines, sum(r)::BIGINT AS n_returned, {rates} FROM q GROUP BY sale_id, item_id, vendor_id
+"""
+
+
+def target_sql() -> str:
+    keys = {"all": [], "kind": ["kind"], "nation": ["nation"], "segment": ["segment"], "item": ["item_id"], "vendor": ["vendor_id"], "client": ["client_id"]}
+
+    def window(what: str, by: list[str]) -> str:
+        return f"coalesce({what} OVER (PARTITION BY {', '.join(by) or '1'} ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), 0)"
+
+    def smooth(name: str, prior: str) -> str:
+        return f"CASE WHEN {name}_n < 1 THEN {prior} ELSE (1000000 * {name}_s + 50 * {prior}) // ({name}_n + 50) END"
+
+    columns = ", ".join(f"({window(w, k)} - {window(w, [*k, 'fold'])})::BIGINT AS {name}_{c}" for name, k in keys.items() for c, w in (("n", "count(*)"), ("s", "sum(r)")))
+    priors = ", ".join(f"{smooth(k, 'p')} AS {k}_p" for k in ("kind", "nation", "segment"))
+    rates = ", ".join(f"any_value({k}_n) AS {k}_n, any_value({smooth(k, p + '_p')})::BIGINT AS {k}_rate" for k, p in (("item", "kind"), ("vendor", "nation"), ("client", "segment")))
+    return TARGET_SQL.replace("{columns}", columns).replace("{priors}", priors).replace("{rates}", rates)
+
+
+ORACLES: dict[str, str] = {"op4_lines": LINES_SQL, "op10_jaccard": JACCARD_SQL, "op11_target_encoding": target_sql()}
