@@ -78,7 +78,21 @@ def op11_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_sales(*(table(spark, sf_dir, t) for t in ("sale_lines", "sales", "items", "vendors", "clients")))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_packing, op4_lines, op5_ann, op6_langid, op7_token_counts, op8_pii, op9_winnowing, op10_jaccard, op11_target_encoding)}
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fim import restored, transform
+
+    out = transform(table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("form"), F.col("output")), 256).alias("restored_sha256")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_packing, op4_lines, op5_ann, op6_langid, op7_token_counts, op8_pii, op9_winnowing, op10_jaccard, op11_target_encoding, op12_fim, op13_html)}
 #: Equal lines stay once, and none of 20 code points and more that is near an earlier one: 1 edit from 20 code points of the
 #: shorter line on, 2 from 256, 3 from 512, 4 from 1,024. levenshtein counts bytes here: where a pair is not all ASCII, the
 #: code points that both lines have are written as one byte each, and any other as one that the other line lacks.
@@ -164,4 +178,20 @@ def target_sql() -> str:
     return TARGET_SQL.replace("{columns}", columns).replace("{priors}", priors).replace("{rates}", rates)
 
 
-ORACLES: dict[str, str] = {"op4_lines": LINES_SQL, "op10_jaccard": JACCARD_SQL, "op11_target_encoding": target_sql()}
+FIM_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h FROM documents),
+u AS (
+  SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d
+), c AS (
+  SELECT *, len(l) AS n, least(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS a, greatest(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR coalesce(h3 % 100 >= 100, true) THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u
+), x AS (
+  SELECT *, coalesce(array_to_string(l[1:a], ''), '') AS p, coalesce(array_to_string(l[a + 1:b], ''), '') AS m, coalesce(array_to_string(l[b + 1:n], ''), '') AS s FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM x
+"""
+
+ORACLES: dict[str, str] = {"op4_lines": LINES_SQL, "op10_jaccard": JACCARD_SQL, "op11_target_encoding": target_sql(), "op12_fim": FIM_SQL}
