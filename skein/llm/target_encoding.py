@@ -10,9 +10,12 @@ earlier time. It is a divide and conquer (CDQ) over the order of key and time in
 * Each level joins halves of twice the length: the left half's totals by key and fold meet the right half's probes of the
   same key. All rows of a block need the same from outside, so a block is one probe, and log2(blocks) Spark rounds do.
   What lies left but has the very time of a probe is not earlier and is taken off (``tail``).
+* What a table knows of a key (an item's kind) stands in the order before all rows of the key and is handed on the same
+  way, within blocks and across them: no join on a key that may be hot.
 
-Blocks are as many as spark.sql.shuffle.partitions says; what the rounds handle is a few rows for each, however long the
-input. Tables between passes are Parquet in the shared folder; each goes when the next one is written.
+Blocks are as many as spark.sql.shuffle.partitions says; what the rounds handle is five rows for each, however long the
+input, so all rounds of a pass are one small task. Tables between passes are Parquet in the shared folder; each goes when
+the one after the next is written.
 """
 
 from __future__ import annotations
@@ -30,9 +33,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import remove, shared_folder
 
 FOLDS = 5
+#: The time of what a table knows of a key.
+BEFORE_ALL = -(1 << 62)
 #: Added to every row by the pass over blocks: where it stands (0 anywhere, 1 in the first key of its block, 2 there at the
 #: first time too), its block, and in one more row for each block the block's ends.
-PLACE = "place tinyint, block int, ends struct<first_key:{key},first_time:bigint,last_key:{key},last_time:bigint,n:array<bigint>,s:array<bigint>,tail_n:array<bigint>,tail_s:array<bigint>>"
+PLACE = "place tinyint, block int, ends struct<first_key:{key},first_time:bigint,last_key:{key},last_time:bigint,value:string,n:array<bigint>,s:array<bigint>,tail_n:array<bigint>,tail_s:array<bigint>>"
 
 
 def fold_of(key: Column, folds: int = FOLDS) -> Column:
@@ -53,10 +58,11 @@ class Running:
         self.folds, self.key, self.time = folds, None, None
         self.run = np.zeros((2 * folds, 1), np.int64)  # of the key so far
         self.strict = np.zeros((2 * folds, 1), np.int64)  # of it, before the present time
-        self.first = None
+        self.first = self.value = None
         self.in_first_run = self.in_first_tie = True
 
-    def add(self, key: pa.Array, time: np.ndarray, fold: np.ndarray, n: np.ndarray, s: np.ndarray):
+    def add(self, key: pa.Array, value: pa.Array, time: np.ndarray, fold: np.ndarray, n: np.ndarray, s: np.ndarray):
+        """Counts and positives before each row, where it stands, and the value that its key's first row has."""
         m, k = len(time), self.folds
         new_key, new_time = np.ones(m, bool), np.ones(m, bool)
         new_key[1:] = pc.not_equal(key.slice(1), key.slice(0, m - 1)).to_numpy(zero_copy_only=False)
@@ -82,16 +88,18 @@ class Running:
         self.run = sums[:, -1:] - (sums[:, run[-1:]] if run[-1] >= 0 else -self.run)
         self.strict = before[:, -1:]
         self.key, self.time = key[m - 1].as_py(), int(time[-1])
-        return before[:k].sum(0) - before[fold, at], before[k:].sum(0) - before[fold + k, at], first_run.astype(np.int8) + first_tie
+        values = pc.if_else(pa.array(run >= 0), value.take(pa.array(np.maximum(run, 0))), pa.scalar(self.value, pa.string()))
+        self.value = values[m - 1].as_py()
+        return before[:k].sum(0) - before[fold, at], before[k:].sum(0) - before[fold + k, at], first_run.astype(np.int8) + first_tie, values
 
     def ends(self) -> dict:
         k, run, tail = self.folds, self.run[:, 0].tolist(), (self.run - self.strict)[:, 0].tolist()
-        return {"first_key": self.first[0], "first_time": self.first[1], "last_key": self.key, "last_time": self.time, "n": run[:k], "s": run[k:], "tail_n": tail[:k], "tail_s": tail[k:]}
+        return {"first_key": self.first[0], "first_time": self.first[1], "last_key": self.key, "last_time": self.time, "value": self.value, "n": run[:k], "s": run[k:], "tail_n": tail[:k], "tail_s": tail[k:]}
 
 
-def within_blocks(rows: DataFrame, key: str, time: str, fold: str, n: str, s: str, ties: list[str], out_n: str, out_s: str, folds: int) -> DataFrame:
-    """Rows in blocks of the order with what their own block holds of their history, and a row of ends for each block."""
-    blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def within_blocks(rows: DataFrame, key: str, time: str, fold: str, n: str, s: str, ties: list[str], out_n: str, out_s: str, value: str, folds: int, blocks: int) -> DataFrame:
+    """Rows in blocks of the order with what their own block holds of their history, and a row of ends for each block. Rows
+    of time ``BEFORE_ALL`` give their value and go."""
     order = [key, time, *(c for c in ties if c != key)]
     placed = rows.repartitionByRange(blocks, *order).sortWithinPartitions(*order)
     added = T.StructType.fromDDL(f"{out_n} bigint, {out_s} bigint, " + PLACE.format(key=rows.schema[key].dataType.simpleString()))
@@ -101,15 +109,19 @@ def within_blocks(rows: DataFrame, key: str, time: str, fold: str, n: str, s: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, running = TaskContext.get().partitionId(), Running(folds)
+        block, running, at_value = TaskContext.get().partitionId(), Running(folds), names.index(value)
         for batch in batches:
             m = batch.num_rows
             if not m:
                 continue
             cols = {c: batch.column(i) for i, c in enumerate(names)}
-            got_n, got_s, place = running.add(cols[key], *(cols[c].to_numpy(zero_copy_only=False) for c in (time, fold, n, s)))
+            times = cols[time].to_numpy(zero_copy_only=False)
+            got_n, got_s, place, values = running.add(cols[key], cols[value], times, *(cols[c].to_numpy(zero_copy_only=False) for c in (fold, n, s)))
             more = [pa.array(got_n), pa.array(got_s), pa.array(place, pa.int8()), pa.array(np.full(m, block, np.int32)), pa.nulls(m, arrow.field("ends").type)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema=arrow)
+            columns = [*batch.columns, *more]
+            columns[at_value] = values
+            out = pa.RecordBatch.from_arrays(columns, schema=arrow)
+            yield out if times[0] != BEFORE_ALL and (times != BEFORE_ALL).all() else out.filter(pa.array(times != BEFORE_ALL))
         if running.first is not None:
             last = {f.name: [None] for f in arrow} | {"block": [block], "ends": [running.ends()]}
             yield pa.RecordBatch.from_arrays([pa.array(last[f.name], f.type) for f in arrow], schema=arrow)
@@ -118,38 +130,47 @@ def within_blocks(rows: DataFrame, key: str, time: str, fold: str, n: str, s: st
 
 
 def across_blocks(ends: DataFrame, blocks: int, folds: int) -> DataFrame:
-    """By block, what the blocks before it hold of its first key: arrays by fold of counts and positives, of all times
-    (n, s) and of times before the block's first one (strict_n, strict_s). One round for each level of halves."""
+    """By block, what the blocks before it hold of its first key: its value, and arrays by fold of counts and positives, of
+    all times (n, s) and of times before the block's first one (strict_n, strict_s). One round for each level of halves.
+    ``ends`` has a row for each block and is one partition, so that rounds need no shuffle."""
     by_fold = F.posexplode(F.arrays_zip("ends.n", "ends.s", "ends.tail_n", "ends.tail_s"))
-    history = ends.select("block", F.col("ends.last_key").alias("key"), F.col("ends.last_time").alias("time"), by_fold.alias("fold", "x")).select("block", "key", "time", "fold", "x.*")
+    history = ends.select("block", F.col("ends.last_key").alias("key"), F.col("ends.last_time").alias("time"), F.col("ends.value").alias("value"), by_fold.alias("fold", "x")).select("block", "key", "time", "value", "fold", "x.*")
     probes = ends.select("block", F.col("ends.first_key").alias("key"), F.col("ends.first_time").alias("at"))
     rounds = []
     for level in range(max(1, (blocks - 1).bit_length())):
         right_half, node = F.shiftright("block", level).bitwiseAND(1) == 1, F.shiftright("block", level + 1)
         # All parts of one time first, so that the latest time's part is known as a whole.
-        by_time = history.where(~right_half).withColumn("node", node).repartition("node", "key").groupBy("node", "key", "fold", "time").agg(*(F.sum(c).alias(c) for c in ("n", "s", "tail_n", "tail_s")))
-        left = by_time.groupBy("node", "key", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("time", "tail_n", "tail_s")).alias("latest"))
-        met = probes.where(right_half).withColumn("node", node).join(left, ["node", "key"])
+        by_time = history.where(~right_half).withColumn("node", node).groupBy("node", "key", "fold", "time").agg(*(F.sum(c).alias(c) for c in ("n", "s", "tail_n", "tail_s")), F.max("value").alias("value"))
+        left = by_time.groupBy("node", "key", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("value").alias("value"), F.max(F.struct("time", "tail_n", "tail_s")).alias("latest"))
+        met = probes.where(right_half).withColumn("node", node).join(left.hint("shuffle_hash"), ["node", "key"])
         not_before = F.col("latest.time") == F.col("at")
         off = {c: F.when(not_before, F.col(f"latest.tail_{c}")).otherwise(0) for c in ("n", "s")}
-        rounds.append(met.select("block", "fold", "n", "s", (F.col("n") - off["n"]).alias("strict_n"), (F.col("s") - off["s"]).alias("strict_s")))
+        rounds.append(met.select("block", "fold", "value", "n", "s", (F.col("n") - off["n"]).alias("strict_n"), (F.col("s") - off["s"]).alias("strict_s")))
     total = rounds[0]
     for more in rounds[1:]:
         total = total.unionByName(more)
-    return total.groupBy("block").agg(*(F.array(*(F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)) for k in range(folds))).alias(f"_{c}") for c in ("n", "s", "strict_n", "strict_s")))
+    by_fold = [F.array(*(F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)) for k in range(folds))).alias(f"_{c}") for c in ("n", "s", "strict_n", "strict_s")]
+    return total.coalesce(1).groupBy("block").agg(*by_fold, F.max("value").alias("_value"))
 
 
-def add_history(rows: DataFrame, key: str, time: str, fold: str, n: str, s: str, ties: list[str], out_n: str, out_s: str, folds: int = FOLDS) -> tuple[DataFrame, str]:
+def add_history(rows: DataFrame, key: str, time: str, fold: str, n: str, s: str, ties: list[str], out_n: str, out_s: str, folds: int = FOLDS, known: DataFrame | None = None, value: str = "value") -> tuple[DataFrame, str]:
     """The rows with ``out_n`` and ``out_s``: sums of ``n`` and ``s`` over rows of the same key, another fold and an earlier
     time; and the folder of the table behind them, which the caller removes. Key, time (long), fold (0 to folds - 1), n and s
     must not be null; ``ties`` are columns that with key and time tell rows apart as far as they differ. Rows that do not
-    differ count each. An empty table comes back empty."""
+    differ count each. An empty table comes back empty. With ``known`` (the key once, and ``value`` as text) rows have their key's
+    value too, or null."""
     spark = rows.sparkSession
-    within_blocks(rows, key, time, fold, n, s, ties, out_n, out_s, folds).write.parquet(path := shared_folder(spark, f"history-{key}"))
+    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wide = rows.withColumn(value, F.lit(None).cast("string"))
+    if known is not None:
+        first = known.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).cast(rows.schema[key].dataType).alias(key), value)
+        fixed = {time: F.lit(BEFORE_ALL), fold: F.lit(0), n: F.lit(0), s: F.lit(0)}
+        wide = wide.unionByName(first.withColumns({c: x.cast(rows.schema[c].dataType) for c, x in fixed.items()}), allowMissingColumns=True)
+    within_blocks(wide, key, time, fold, n, s, ties, out_n, out_s, value, folds, blocks).write.parquet(path := shared_folder(spark, f"history-{key}"))
     table = spark.read.parquet(path)
-    ends = table.where("ends is not null").select("block", "ends")
-    blocks = (ends.agg(F.max("block")).first()[0] or 0) + 1
-    across_blocks(ends, blocks, folds).write.parquet(carried := f"{path}-carried")
+    table.where("ends is not null").select("block", "ends").write.parquet(ended := f"{path}-ends")
+    across_blocks(spark.read.parquet(ended).coalesce(1), blocks, folds).write.parquet(carried := f"{path}-carried")
+    remove(spark, ended)
     carry = F.broadcast(spark.read.parquet(carried))  # one row for each block at most
     own = F.col(fold) + 1
 
@@ -162,14 +183,13 @@ def add_history(rows: DataFrame, key: str, time: str, fold: str, n: str, s: str,
         return (F.col(out) + F.coalesce(outside, F.lit(0))).alias(out)
 
     out = table.where("ends is null").drop("ends").join(carry, "block", "left")
-    return out.select(*rows.columns, whole(out_n, "n"), whole(out_s, "s")), path
+    handed = [] if known is None else [F.coalesce(value, F.when(F.col("place") > 0, F.col("_value"))).alias(value)]
+    return out.select(*rows.columns, whole(out_n, "n"), whole(out_s, "s"), *handed), path
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """``value`` of each row's key as text that is never null: unknown keys and null values share one. A merge join, since
-    the table grows with the input; a hot key's rows are split by adaptive execution, as no later step needs them together."""
-    known = table.select(F.col(key).cast("long").alias(key), F.col(value).cast("string").alias(out)).where(F.col(key).isNotNull()).groupBy(key).agg(F.min(out).alias(out))
-    return rows.join(known.hint("merge"), key, "left").withColumn(out, F.coalesce(F.concat(F.lit("="), F.col(out)), F.lit("?")))
+def facts(table: DataFrame, key: str, value: str) -> DataFrame:
+    """A key once with its least value as text."""
+    return table.select(F.col(key).cast("long").alias(key), F.col(value).cast("string").alias("value")).groupBy(key).agg(F.min("value").alias("value"))
 
 
 def encode_sales(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFrame, clients: DataFrame, flag: str = "returned") -> DataFrame:
@@ -188,8 +208,8 @@ def encode_sales(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors:
     counts = [F.count("*").alias("n"), F.count_if("flag").alias("s")]
     folders: list[str] = []
 
-    def step(rows: DataFrame, key: str, ties: list[str]) -> DataFrame:
-        out, path = add_history(rows, key, "time", "fold", "n", "s", ties, "hn", "hs")
+    def step(rows: DataFrame, key: str, ties: list[str], known: DataFrame | None = None) -> DataFrame:
+        out, path = add_history(rows, key, "time", "fold", "n", "s", ties, "hn", "hs", known=known)
         folders.append(path)
         for old in folders[:-2]:  # the last but one is what this one was made of
             remove(spark, old)
@@ -197,23 +217,18 @@ def encode_sales(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors:
         del folders[:-2]
         return out
 
-    def prior(rows: DataFrame, key: str, ties: list[str]) -> DataFrame:
-        out = step(rows, key, ties).withColumn("p", rate(F.col("hn"), F.col("hs"), F.col("p")))
-        return out.drop(key, "hn", "hs")
+    def encoded(rows: DataFrame, key: str, name: str, known: DataFrame, ties: list[str]) -> DataFrame:
+        """First the key's own history, with what is known of it; then that value's, which gives the prior."""
+        out = step(rows, key, ties, known).withColumns({"own_n": F.col("hn"), "own_s": F.col("hs"), "value": F.coalesce(F.concat(F.lit("="), F.col("value")), F.lit("?"))}).drop("hn", "hs")
+        out = step(out.withColumnRenamed("value", "parent"), "parent", ties)
+        prior = rate(F.col("hn"), F.col("hs"), F.col("p_all"))
+        return out.withColumns({f"{name}_n": F.col("own_n"), f"{name}_rate": rate(F.col("own_n"), F.col("own_s"), prior)}).drop("hn", "hs", "own_n", "own_s", "parent")
 
-    def named(rows: DataFrame, key: str, name: str, ties: list[str]) -> DataFrame:
-        out = step(rows, key, ties)
-        return out.withColumns({f"{name}_n": F.col("hn"), f"{name}_rate": rate(F.col("hn"), F.col("hs"), F.col("p"))}).drop("hn", "hs", "p")
-
-    by_sale = sold.join(got.groupBy("sale_id").agg(*counts).hint("merge"), "sale_id").withColumns({"fold": fold_of(F.col("sale_id")), "every": F.lit(0).cast("long"), "p": F.lit(500_000).cast("long")})
-    by_sale = prior(by_sale, "every", ["sale_id"]).withColumn("p_all", F.col("p"))
-    by_sale = prior(lookup(by_sale, clients, "client_id", "segment", "segment"), "segment", ["sale_id"])
-    by_sale = named(by_sale, "client_id", "client", ["sale_id"]).drop("client_id", "n", "s")
+    by_sale = sold.join(got.groupBy("sale_id").agg(*counts).hint("merge"), "sale_id").withColumns({"fold": fold_of(F.col("sale_id")), "every": F.lit(0).cast("long")})
+    by_sale = step(by_sale, "every", ["sale_id"]).withColumn("p_all", rate(F.col("hn"), F.col("hs"), F.lit(500_000).cast("long"))).drop("every", "hn", "hs")
+    by_sale = encoded(by_sale, "client_id", "client", facts(clients, "client_id", "segment"), ["sale_id"]).drop("client_id", "n", "s")
     rows = got.groupBy("sale_id", "item_id", "vendor_id").agg(*counts).join(by_sale.hint("merge"), "sale_id").withColumn("vendor", F.coalesce("vendor_id", F.lit(-1)))
     one = ["sale_id", "item_id", "vendor"]
-    rows = prior(lookup(rows.withColumn("p", F.col("p_all")), items, "item_id", "kind", "kind"), "kind", one)
-    rows = named(rows, "item_id", "item", one)
-    at_vendor = vendors.select(F.col("vendor_id").alias("vendor"), "nation_id")
-    rows = prior(lookup(rows.withColumn("p", F.col("p_all")), at_vendor, "vendor", "nation_id", "nation"), "nation", one)
-    rows = named(rows, "vendor", "vendor", one)
+    rows = encoded(rows, "item_id", "item", facts(items, "item_id", "kind"), one)
+    rows = encoded(rows, "vendor", "vendor", facts(vendors.select(F.col("vendor_id").alias("vendor"), "nation_id"), "vendor", "nation_id"), one)
     return rows.select("sale_id", "item_id", "vendor_id", F.col("n").alias("n_lines"), F.col("s").alias("n_returned"), "item_n", "item_rate", "vendor_n", "vendor_rate", "client_n", "client_rate")
