@@ -60,6 +60,55 @@ def masked(logits: Column, allow: Column) -> Column:
     return F.transform(logits, lambda x, i: F.when(F.array_contains(allow, i), x).otherwise(float("-inf")))
 
 
+def in_range(length: Column, start: Column | int, end: Column | int | None) -> Column:
+    """M4: whether the sequence is as long as the range says: from ``start``, below ``end`` (none: open). Both may be columns,
+    so that each sequence has its own range."""
+    begun = length >= start
+    return begun if end is None else begun & (F.coalesce(length < end, F.lit(True)) if isinstance(end, Column) else length < end)
+
+
+def disallow_in_range(ids: Column, logits: Column, tokens: list[int], start: Column | int, end: Column | int | None = None) -> Column:
+    """M4: these tokens may not follow while the sequence's length is in the range."""
+    bad = F.array(*[F.lit(x) for x in tokens]).cast("array<int>")
+    return F.when(in_range(F.size(ids), start, end), F.transform(logits, lambda x, i: F.when(F.array_contains(bad, i), float("-inf")).otherwise(x))).otherwise(logits)
+
+
+def allow_in_range(ids: Column, logits: Column, tokens: list[int], start: Column | int, end: Column | int | None = None) -> Column:
+    """M4: no others may follow then."""
+    return F.when(in_range(F.size(ids), start, end), masked(logits, F.array(*[F.lit(x) for x in tokens]).cast("array<int>"))).otherwise(logits)
+
+
+def allow_at_offset(ids: Column, logits: Column, trigger: int, tokens: list[int], offset: int) -> Column:
+    """M4: where the token ``offset`` places back is the trigger, no others may follow."""
+    hit = (F.size(ids) >= offset) & F.coalesce(F.try_element_at(ids, F.lit(-offset)) == trigger, F.lit(False))
+    return F.when(hit, masked(logits, F.array(*[F.lit(x) for x in tokens]).cast("array<int>"))).otherwise(logits)
+
+
+def allow_in_window(ids: Column, logits: Column, trigger: int, tokens: list[int], width: int) -> Column:
+    """M4: where the trigger is among the last ``width`` tokens, no others may follow."""
+    hit = F.array_contains(F.slice(ids, F.greatest(F.size(ids) - (width - 1), F.lit(1)), F.lit(width)), trigger)
+    return F.when(hit, masked(logits, F.array(*[F.lit(x) for x in tokens]).cast("array<int>"))).otherwise(logits)
+
+
+def after_trigger(df: DataFrame, seq: str, pos: str, token: str, trigger: int, width: int, offset: int, window_name: str = "in_window", offset_name: str = "at_offset") -> DataFrame:
+    """M4 for sequences as rows: whether a trigger stands among the ``width`` tokens before a row, and ``offset`` places
+    before it. ``pos`` counts from 0 without gaps and tells a sequence's rows apart.
+
+    No window over a whole sequence: with blocks as wide as the window, the triggers that matter to a row are the first one
+    of its block and the last one of the block before, so two joins on (sequence, block) do, however long a sequence is.
+    """
+    block = F.floor(F.col(pos) / width)
+    hits = df.where(F.col(token) == trigger)
+    ends = hits.groupBy(F.col(seq).alias("_s"), block.alias("_b")).agg(F.min(pos).alias("_first"), F.max(pos).alias("_last"))
+    out = df.withColumn("_block", block)
+    out = out.join(ends.select("_s", "_b", "_first"), (F.col(seq) == F.col("_s")) & (F.col("_block") == F.col("_b")), "left").drop("_s", "_b")
+    out = out.join(ends.select("_s", (F.col("_b") + 1).alias("_b"), "_last"), (F.col(seq) == F.col("_s")) & (F.col("_block") == F.col("_b")), "left").drop("_s", "_b")
+    within = F.coalesce(F.col("_first") < F.col(pos), F.lit(False)) | F.coalesce(F.col("_last") >= F.col(pos) - width, F.lit(False))
+    out = out.withColumn(window_name, within).drop("_block", "_first", "_last")
+    at = hits.select(F.col(seq).alias("_s"), (F.col(pos) + offset).alias("_p"), F.lit(True).alias(offset_name))
+    return out.join(at, (F.col(seq) == F.col("_s")) & (F.col(pos) == F.col("_p")), "left").drop("_s", "_p").withColumn(offset_name, F.coalesce(offset_name, F.lit(False)))
+
+
 def penalised(logit: Column, count: Column, repetition: float = 1.0, frequency: float = 0.0, presence: float = 0.0) -> Column:
     """M5: seen tokens are divided by the repetition penalty if positive, multiplied if not; then counts and presence cost."""
     seen = F.coalesce(count, F.lit(0)) > 0
@@ -74,6 +123,44 @@ def stop_at(tokens: Column, end_id: int, max_length: int, start: int = 0) -> Col
     return F.slice(tokens, 1, F.least(F.lit(max_length), F.when(at > 0, at + start).otherwise(F.size(tokens))).cast("int"))
 
 
+def stop_at(tokens: Column, end_id: int, max_length: int, start: int = 0) -> Column:
+    """Q24: tokens up to and with the first end token at or after a place, and at most max_length."""
+    tail = F.slice(tokens, start + 1, F.size(tokens))
+    at = F.array_position(tail, F.lit(end_id))
+    return F.slice(tokens, 1, F.least(F.lit(max_length), F.when(at > 0, at + start).otherwise(F.size(tokens))).cast("int"))
+
+
+def stops(ids: Column, max_length: int, end_id: int, end_from: Column | int, keywords: list[list[int]], begin: Column | int = 0) -> Column:
+    """Q24: for each criterion the length at which it first holds (null: never), as a struct, and the least as ``first``.
+
+    max_length: the sequence is that long; end: there is an end token; end_after: there is one at or behind a place;
+    keyword: the sequence, longer than its prompt of ``begin`` tokens, ends with one of the keywords. Suffixes roll: a keyword is looked for by
+    comparing the array with itself shifted, once for each of its tokens.
+    """
+    from .sequences import occurrences
+
+    n = F.size(ids)
+    first_end = F.nullif(F.array_position(ids, F.lit(end_id)), F.lit(0)).cast("int")
+    places = F.filter(F.transform(ids, lambda x, i: F.when(x == end_id, i)), lambda i: i.isNotNull())
+    later = F.get(F.filter(places, lambda i: i >= end_from), F.lit(0)) + 1
+
+    def ends_of(k: list[int]) -> Column:
+        return F.transform(occurrences(ids, k), lambda i: i + len(k))
+
+    ends = F.concat(*[ends_of(k) for k in keywords]) if keywords else F.array().cast("array<int>")
+    keyword = F.array_min(F.filter(ends, lambda e: e > begin))
+    out = {"max_length": F.when(n >= max_length, F.lit(max_length)), "end": first_end, "end_after": later, "keyword": keyword}
+    return F.struct(*[c.alias(k) for k, c in out.items()], F.least(*out.values()).alias("first"))
+
+
+def batch_stops(df: DataFrame, batch: str, stop: str) -> DataFrame:
+    """Q24: a batch goes on until one criterion holds for all of its sequences: per batch that criterion's length for each
+    criterion (null: it never holds for all) and the least of them as ``first``."""
+    names = ["max_length", "end", "end_after", "keyword"]
+    all_rows = df.groupBy(batch).agg(*[F.when(F.count(f"{stop}.{c}") == F.count("*"), F.max(f"{stop}.{c}")).alias(c) for c in names])
+    return all_rows.withColumn("first", F.least(*names))
+
+
 def cross_entropy(df: DataFrame, seq: str, logit: str, token: str, target: str) -> DataFrame:
     """M7: -log softmax of the target token of each sequence."""
     x = with_probability(df, seq, logit)

@@ -154,6 +154,30 @@ def precision_recall(reference: DataFrame, samples: DataFrame, k: int = 3) -> Da
     return reference.sparkSession.createDataFrame([(share(samples, reference), share(reference, samples))], "precision double, recall double")
 
 
+def realism(points: DataFrame, balls: DataFrame, eps: float = 1e-5, prune: bool = False) -> DataFrame:
+    """Per point (id, v) the greatest radius / (distance + eps) over the balls (id, v, radius), and its nearest ball
+    (the smaller id of two). Distances and radii are squared, as ``radii`` gives them. A pair of blocks keeps one row for
+    each point: its greatest ratio, and the nearest ball with its distance. ``prune`` leaves out balls of a radius above the
+    median (the exact one, lower of two) as sources of the ratio; as nearest they count all the same."""
+    from .rows import cut
+
+    most = balls.agg(F.percentile("radius", 0.5)).first()[0] if prune else None
+    counted = F.col("radius") if most is None else F.when(F.col("radius") <= most, F.col("radius"))
+    wide = cut(balls.select("id", F.concat("v", F.array(F.coalesce(counted, F.lit(-1.0)))).alias("v")))
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"id": [], "ratio": [], "near": [], "d": []}).astype({"id": "int64", "ratio": "float64", "near": "int64", "d": "float64"})
+        y = y.sort_values("id")
+        r = np.array([v[-1] for v in y["v"]])
+        d = squared(x, pd.DataFrame({"v": [v[:-1] for v in y["v"]]}))
+        at = d.argmin(1)
+        return pd.DataFrame({"id": x["id"].to_numpy(), "ratio": (r[None] / (d + eps)).max(1), "near": y["id"].to_numpy()[at], "d": d[np.arange(len(x)), at]})
+
+    pairs = paired_blocks(points, wide, best, "id long, ratio double, near long, d double")
+    return pairs.groupBy("id").agg(F.max("ratio").alias("realism"), F.min_by("near", F.struct("d", "near")).alias("nearest"))
+
+
 def inception_score(df: DataFrame, split_rows: int, idx: str, probabilities: str) -> DataFrame:
     """Exp of the mean divergence from the split's mean distribution, averaged over splits."""
     p = df.select(F.floor(F.col(idx) / split_rows).alias("split"), F.col(idx).alias("i"), F.posexplode(probabilities).alias("c", "p"))

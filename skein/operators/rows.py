@@ -20,6 +20,8 @@ def shared_folder(spark, what: str) -> str:
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not current.isDefined():
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(f"/tmp/skein-shared-{os.getpid()}")
         base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -117,12 +119,73 @@ def per_group_first(df: DataFrame, group: str, k: int, *order: Column | str) ->
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
 
 
-def weighted_with_replacement(items: DataFrame, weight: str, n: int, seed: int, id_col: str) -> DataFrame:
-    """N draws; items (shard lists: bounded by the number of shards) carry cumulative weights, draws are hashed numbers."""
-    from pyspark.sql import Window
+#: Cells of one alias table.
+CELLS = 4096
+
+
+def alias_cells(weights):
+    """Walker's method: for each of n cells the share that stays (of the cell) and who gets the rest, so that a uniform cell
+    and a uniform number choose by weight."""
+    import numpy as np
+
+    w = np.asarray(weights, np.float64)
+    n = len(w)
+    share, other = w * n / w.sum(), np.arange(n)
+    low, high = [i for i in range(n) if share[i] < 1], [i for i in range(n) if share[i] >= 1]
+    while low and high:
+        i, j = low.pop(), high[-1]
+        other[i] = j
+        share[j] -= 1 - share[i]
+        if share[j] < 1:
+            low.append(high.pop())
+    for i in low + high:  # what rounding left over
+        share[i], other[i] = 1.0, i
+    return share, other
+
 
-    w = Window.orderBy(id_col)
-    spans = items.withColumn("_hi", F.sum(weight).over(w)).withColumn("_lo", F.col("_hi") - F.col(weight))
-    total = items.agg(F.sum(weight)).first()[0]
-    draws = items.sparkSession.range(n).select(F.col("id").alias("draw"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) * total).alias("_u"))
-    return draws.join(F.broadcast(spans), (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).drop("_u", "_lo", "_hi")
+def alias_table(items: DataFrame, weight: str, id_col: str) -> list[DataFrame]:
+    """Levels of alias tables, the top one first. A level deals its members out by order of id into tables of at most
+    ``CELLS``; a table is then one member of the level above, with the sum of its weights. Columns: grp (its table), cell, n
+    (cells of the table), own and other (members), share. Weights must be positive and finite: others raise."""
+    import pandas as pd
+
+    bad = F.col(weight).isNull() | F.isnan(F.col(weight).cast("double")) | (F.col(weight) <= 0) | (F.col(weight).cast("double") == float("inf"))
+    checked = items.select(F.col(id_col).cast("long").alias("own"), F.when(bad, F.raise_error(F.lit("weights must be positive and finite"))).otherwise(F.col(weight).cast("double")).alias("w"))
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("cell")
+        share, other = alias_cells(rows["w"])
+        own = rows["own"].to_numpy()
+        return pd.DataFrame({"grp": rows["grp"], "cell": rows["cell"], "n": len(own), "own": own, "other": own[other], "share": share})
+
+    levels, members = [], checked
+    while True:
+        placed = cut(with_row_index(members, "own").select((F.floor(F.col("idx") / CELLS)).alias("grp"), (F.col("idx") % CELLS).alias("cell"), "own", "w"))
+        levels.append(placed.groupBy("grp").applyInPandas(build, "grp long, cell long, n long, own long, other long, share double"))
+        members = cut(placed.groupBy("grp").agg(F.sum("w").alias("w")).select(F.col("grp").alias("own"), "w"))
+        if members.count() <= 1:
+            return levels[::-1]
+
+
+def weighted_with_replacement(items: DataFrame, weight: str, n: int, seed: int, id_col: str) -> DataFrame:
+    """N draws (draw, and the columns of items) by weight, by alias tables: each level is one join on a cell that is
+    chosen uniformly, so a heavy item is no hot key of it, and nothing is broadcast. Draws are hashes of their number."""
+    draws = items.sparkSession.range(n).select(F.col("id").alias("draw"), F.lit(0).cast("long").alias("grp"))
+    for k, level in enumerate(alias_table(items, weight, id_col)):
+        u = [F.pmod(F.xxhash64("draw", F.lit(seed), F.lit(2 * k + i)), F.lit(1 << 52)) / float(1 << 52) for i in (0, 1)]
+        level = cut(level)
+        sizes = level.where("cell = 0").select("grp", "n")
+        top = sizes.first() if k == 0 else None
+        if k == 0 and top is None:
+            raise ValueError("there is nothing to draw from")
+        aimed = draws.withColumn("n", F.lit(top["n"])) if k == 0 else draws.join(sizes, "grp")
+        met = aimed.withColumn("cell", F.floor(u[0] * F.col("n"))).drop("n").join(level.drop("n"), ["grp", "cell"])
+        draws = met.select("draw", F.when(u[1] < F.col("share"), F.col("own")).otherwise(F.col("other")).alias("grp"))
+    return draws.withColumnRenamed("grp", "_own").join(items, F.col("_own") == F.col(id_col)).drop("_own")
+
+
+def alias_mass(items: DataFrame, weight: str, id_col: str) -> DataFrame:
+    """The chance of each item in the lowest level's tables, of its table: what ``weighted_with_replacement`` draws by."""
+    level = alias_table(items, weight, id_col)[-1]
+    halves = F.array(F.struct(F.col("own").alias("item"), (F.col("share") / F.col("n")).alias("p")), F.struct(F.col("other").alias("item"), ((1 - F.col("share")) / F.col("n")).alias("p")))
+    return level.select("grp", F.inline(halves)).groupBy("grp", "item").agg(F.sum("p").alias("chance"))

@@ -76,16 +76,55 @@ def insert_after_first(ids: Column, codes: Column, marker: int) -> Column:
     return F.when(at > 0, F.concat(F.slice(ids, 1, at), codes, F.slice(ids, at + 1, F.greatest(F.size(ids) - at, F.lit(0))))).otherwise(ids)
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, even where the body uses it for every element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def within(ids: Column, spans: Column) -> Column:
+    """Ids inside of any (a, b), IGNORE elsewhere."""
+    return bound(spans, lambda held: F.transform(ids, lambda x, i: F.when(F.exists(held, lambda s: (i >= s["a"]) & (i < s["b"])), x).otherwise(IGNORE)))
+
+
+def occurrences(ids: Column, marker: list[int]) -> Column:
+    """Places (from 0) where a short sequence begins: the array compared with itself, shifted."""
+
+    def search(held: Column) -> Column:
+        n = F.size(held) - (len(marker) - 1)
+
+        def here(i: Column) -> Column:
+            hit = F.get(held, i) == marker[0]
+            for k, m in enumerate(marker[1:], 1):
+                hit = hit & (F.get(held, i + k) == m)
+            return hit
+
+        return F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), here)
+
+    return bound(ids, search)
+
+
+def marker_spans(ids: Column, marker: list[int], end: int) -> Column:
+    """Q13: (from, to) of what follows each marker up to and with the next end token, or all there is. The search goes on
+    behind a span, so a marker within one does not count; one at the very end has nothing behind it."""
+    k = len(marker)
+
+    def walk(ids_and_ends: Column) -> Column:
+        n, ends = F.size(ids_and_ends["ids"]), ids_and_ends["ends"]
+
+        def step(acc: Column, s: Column) -> Column:
+            last = F.coalesce(F.get(F.filter(ends, lambda e: e >= s + k), F.lit(0)) + 1, n)
+            return F.when((s >= acc["upto"]) & (s < n - k), F.struct(last.alias("upto"), F.concat(acc["spans"], F.array(F.struct((s + k).alias("a"), last.alias("b")))).alias("spans"))).otherwise(acc)
+
+        zero = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
+        return F.aggregate(occurrences(ids_and_ends["ids"], marker), zero, step)["spans"]
+
+    ends = F.filter(F.transform(ids, lambda x, i: F.when(x == end, i)), lambda i: i.isNotNull())
+    return bound(F.struct(ids.alias("ids"), ends.alias("ends")), walk)
+
+
 def assistant_labels(ids: Column, marker: list[int], end: int) -> Column:
-    """Q13: only what follows an assistant marker, up to and with the next end token, is predicted. As in the original the
-    search for markers stops before the last possible place."""
-    k, n = len(marker), F.size(ids)
-    starts = F.filter(
-        F.when(n > k, F.sequence(F.lit(0), n - (k + 1))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.forall(F.arrays_zip(F.slice(ids, i + 1, k).alias("a"), F.array(*[F.lit(m) for m in marker]).alias("b")), lambda z: z["a"] == z["b"]),
-    )
-    spans = F.transform(starts, lambda s: F.struct((s + k).alias("a"), (s + k + F.coalesce(F.nullif(F.array_position(F.slice(ids, s + k + 1, n), F.lit(end)), F.lit(0)), n.cast("long")) - 1).alias("b")))
-    return F.transform(ids, lambda x, i: F.when(F.exists(spans, lambda s: (i >= s["a"]) & (i <= s["b"])), x).otherwise(IGNORE))
+    """Q13: only answers are predicted."""
+    return bound(ids, lambda held: within(held, marker_spans(held, marker, end)))
 
 
 def with_placeholders(parts: Column) -> Column:
