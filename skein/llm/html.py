@@ -254,15 +254,16 @@ def folded(nodes: list[Node]) -> tuple[str, dict[int, int]]:
     return ";".join(out), slots
 
 
-def read(html: str | None) -> tuple[str, list[tuple[int, str, int, bool]]]:
-    """Skeleton of a page, and its blocks that may be content in page order: slot, text, letters in links, in an article."""
+def read(html: str | None) -> tuple[str, list[tuple[int, str, int, bool, bool]]]:
+    """Skeleton of a page, and its blocks that may be content in page order: slot, text, letters in links, whether in an
+    article, whether a heading."""
     root = tree(html or "")
     nodes = in_order(root)
     marked(nodes)
     skeleton, slots = folded(nodes)
     leaves = [n for n in nodes if n.tag == "#" and not n.boiler]
     some = [n for n in leaves if n.article] or [n for n in leaves if n.main] or leaves
-    return skeleton, [(slots[id(n)], n.text, n.links, n.article) for n in some]
+    return skeleton, [(slots[id(n)], n.text, n.links, n.article, re.fullmatch("h[1-6]", n.parent.tag) is not None) for n in some]
 
 
 def matching(skeleton: str, template: str) -> list[int]:
@@ -338,14 +339,16 @@ def host_of(url: Column) -> Column:
 
 
 def slots_seen(pages: DataFrame) -> DataFrame:
-    """By host, skeleton and slot: pages, least and greatest hash of the slot's text, letters, letters in links."""
+    """By host, skeleton and slot: pages, least and greatest hash of the slot's text, letters, letters in links. Headings are
+    left out: they are never template, since copies of an article share theirs."""
 
     def start():
         def each(host, html):
             skeleton, blocks = read(html)
             slots: dict[int, list] = {}
-            for slot, text, links, article in blocks:
-                slots.setdefault(slot, []).append((text, links, article))
+            for slot, text, links, article, heading in blocks:
+                if not heading:
+                    slots.setdefault(slot, []).append((text, links, article))
             for slot, got in slots.items():
                 yield host, skeleton, slot, text_hash([g[0] for g in got]), sum(len(g[0]) for g in got), 0 if got[0][2] else sum(g[1] for g in got)
 
@@ -396,7 +399,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         def each(page_id, url, host, html):
             skeleton, blocks = read(html)
             key = hashlib.md5(skeleton.encode(), usedforsecurity=False).hexdigest()
-            yield page_id, url, host, key, [{"slot": slot, "text": text} for slot, text, _, _ in blocks]
+            yield page_id, url, host, key, [{"slot": slot, "text": text} for slot, text, *_ in blocks]
 
         return each
 

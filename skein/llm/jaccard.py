@@ -17,8 +17,11 @@ order n-grams of like frequency.
    classes of different components meet. No link between different components is lost.
 5. Components by alternating large-star and small-star steps over the links.
 
-Null text counts as empty. Very long texts are used whole. Rows that repeat a doc_id count as one document whose links
-join, and each of them is returned. Rows without doc_id are returned with component null. Other columns pass by.
+Null text counts as empty. Very long texts are used whole. Where doc_ids repeat or are null, each different pair of id and
+text is numbered first and linked under its number. ``link_documents`` then takes rows that repeat a doc_id as one document
+whose links join, and returns each of them; rows without doc_id link nothing and have component null. ``keep_one`` goes by
+the text alone: of rows linked with one another one stays, and no text goes that is not linked with one that stays. Texts
+without words are linked with nothing and stay. Empty tables give no rows. Other columns pass by.
 """
 
 from __future__ import annotations
@@ -284,21 +287,67 @@ def meets(bits: str) -> Column:
     return F.expr(f"bit_count(bands) < c or (bands & ({around})) <> 0")
 
 
+def ambiguous(docs: DataFrame) -> bool:
+    """Whether a doc_id is null or repeats."""
+    return bool(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count())
+
+
+def text_digest() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes: a number for each different pair of doc_id and text (its digest); and the texts under their numbers. The
+    numbers are in a checkpoint, so they stay what they are."""
+    nodes = cut(docs.select(F.col("doc_id").alias("id"), text_digest().alias("digest")).distinct().withColumn("node", F.monotonically_increasing_id()))
+    placed = docs.withColumn("digest", text_digest()).join(nodes.withColumnRenamed("digest", "_d"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("_d")))
+    return nodes, placed.select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+
+
 def link_documents(df: DataFrame, words: int = 3, percent: int = 90, crowd: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     docs = id_text(df, id_col, text_col)
+    if not ambiguous(docs):
+        return linked(docs, words, percent, crowd)
+    nodes, texts = numbered(docs)
+    named = nodes.where("id is not null")
+    by_node = cut(linked(texts.join(named.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), words, percent, crowd).withColumnRenamed("doc_id", "node").join(named, "node"))
+    # The components that share a doc_id are one: each is linked with the least of them.
+    least = by_node.groupBy("id").agg(F.min("component_id").alias("b"))
+    joined = components(by_node.join(least, "id").select(F.col("component_id").alias("a"), "b").distinct())
+    whole = by_node.join(joined.select(F.col("node").alias("component_id"), "component"), "component_id", "left").withColumn("c", F.coalesce("component", "component_id"))
+    smallest = whole.groupBy("c").agg(F.min("id").alias("component_id"))
+    out = whole.select("id", "digest", "n_shingles", "c").join(smallest, "c").select("id", "digest", F.col("component_id").alias("component"))
+    sizes = linked_sizes(texts, words).join(nodes, F.col("doc_id") == F.col("node")).select("id", "digest", "n_shingles")
+    rows = docs.select("doc_id", text_digest().alias("_d"))
+    with_size = rows.join(sizes, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_d") == F.col("digest"))).select("doc_id", "_d", "n_shingles")
+    return with_size.join(out, (F.col("doc_id") == F.col("id")) & (F.col("_d") == F.col("digest")), "left").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
+def linked_sizes(texts: DataFrame, words: int) -> DataFrame:
+    """Size of each text's set."""
+
+    def start():
+        shingles = Shingler(words)
+        return lambda doc_id, text: ((doc_id, len(shingles(text))),)
+
+    return map_rows(texts, start, pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64())]), "doc_id long, n_shingles long")
+
+
+def linked(docs: DataFrame, words: int, percent: int, crowd: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of documents whose doc_ids are unique and not null."""
     rows = cut(digest_sets(docs, words, percent, frequency_sketch(docs, words)))
     classes = small(rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")))
     kept = rows.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi")
     tokens = kept.select("doc_id", size_band(percent).alias("band"), F.explode("p1").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("c"), F.bit_or("band").alias("bands")).where("c > 1").where(meets("bands"))
     meet = cut(tokens.join(shared, "token").where(meets("band")).select("token", "doc_id", "c"))
-    release(df.sparkSession)  # prefixes that were counted and joined
+    release(docs.sparkSession)  # prefixes that were counted and joined
     own = meet.groupBy("doc_id").agg(F.count("*").alias("common"), F.max("c").alias("most")).join(classes.withColumnRenamed("rep", "doc_id"), "doc_id")
     signatures = [f"s{k}" for k in range(WORDS64)]
     wide = rows.select("key", "doc_id", "n", F.size("p1").alias("p"), "p2", "p3", *signatures)  # p1 itself stays out of the shuffle
     about = cut(wide.join(own, ["key", "doc_id"]).select("doc_id", "n", (F.col("p") - F.col("common")).alias("alone"), "most", "p2", "p3", *signatures))
-    release(df.sparkSession)
+    release(docs.sparkSession)
 
     def alike(a: str, b: str):
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -319,7 +368,7 @@ def link_documents(df: DataFrame, words: int = 3, percent: int = 90, crowd: int
         chosen = crowded.select("token", "doc_id").join(pivots, "token").groupBy("doc_id").agg(F.min("pivot").alias("pivot")).select(F.col("doc_id").alias("a"), F.col("pivot.doc_id").alias("b")).where("a <> b")
         near = chosen.join(light.alias("x"), F.col("a") == F.col("x.doc_id")).join(light.alias("y"), F.col("b") == F.col("y.doc_id")).where(alike("x", "y")).select("a", "b")
         links = small(verified(small(filtered(near)), docs, words, percent))
-        release(df.sparkSession)
+        release(docs.sparkSession)
         placed = components(links)
         light = light.join(placed, light.doc_id == placed.node, "left").select("doc_id", "n", *signatures, F.coalesce("component", "doc_id").alias("part"))
     else:
@@ -333,14 +382,25 @@ def link_documents(df: DataFrame, words: int = 3, percent: int = 90, crowd: int
     pairs = small(filtered(found.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()))
     more = verified(pairs, docs, words, percent)
     placed = components(links.union(more) if links is not None else more)
-    release(df.sparkSession)
+    release(docs.sparkSession)
     whole = classes.join(placed, classes.rep == placed.node, "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     return rows.select("doc_id", "n", "key").join(whole, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, most_broadcast: int = 200_000) -> DataFrame:
-    """The rows, all columns as they are, of the smallest doc_id of each component (and rows without doc_id). Where the ids
-    that go are at most ``most_broadcast`` they are broadcast, so the texts are not shuffled; else they are joined."""
-    found = link_documents(docs, words, percent)
-    drop = small(found.where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(F.broadcast(drop) if drop.count() <= most_broadcast else drop, "doc_id", "left_anti")
+    """One row of each component, all columns as they are: that of the smallest doc_id (rows without one come last, then the
+    least digest of the text decides; of rows equal in both any one). Where the ids that go are at most ``most_broadcast``
+    they are broadcast, so the texts are not shuffled; else they are joined."""
+    plain = id_text(docs)
+    if not ambiguous(plain):
+        found = linked(plain, words, percent, 32)
+        drop = small(found.where("component_id <> doc_id").select("doc_id").distinct())
+        return docs.join(F.broadcast(drop) if drop.count() <= most_broadcast else drop, "doc_id", "left_anti")
+    nodes, texts = numbered(plain)
+    found = linked(texts, words, percent, 32).withColumnRenamed("doc_id", "node").join(nodes, "node")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest", "n_shingles")).alias("x"))
+    kept = cut(first.select(F.col("x.id").alias("_id"), F.col("x.digest").alias("_kept"), (F.col("x.n_shingles") > 0).alias("_once")))
+    digest = F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
+    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (digest == kept["_kept"]))
+    once = rows.where("_once").dropDuplicates(["_id", "_kept"])
+    return once.unionByName(rows.where("not _once")).select(*docs.columns)

@@ -61,3 +61,27 @@ def test_stages_on_empty_and_odd_rows(spark):
         out = f(spark, out, D)
     assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2, 3, 4]
     assert brute_lines({0: "q"}, 1, 20) == {0: "q"} and lines.ALPHABET
+
+
+def test_repeated_and_missing_ids(spark):
+    from skein.llm import jaccard
+
+    x, y, z = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen", "quite another text that nobody else has here"
+    rows = [(3, x), (5, x), (5, y), (9, y), (None, x), (None, z), (None, z), (1, z + " a"), (1, z + " a"), (7, ""), (7, ""), (8, None)]
+    docs = spark.createDataFrame([(i, t, 0, "k") for i, t in rows], "doc_id long, text string, node int, digest string")
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.keep_one(docs, 5, 85).collect()), key=repr)
+    assert kept == sorted([(3, x), (5, y), (None, z), (1, z + " a"), (7, ""), (7, ""), (8, None)], key=repr)
+    assert jaccard.keep_one(docs, 5, 80).columns == docs.columns
+    near = sorted(((r.doc_id, r.text) for r in jaccard.keep_one(docs, 5, 80).collect()), key=repr)
+    assert near == sorted([(3, x), (5, y), (1, z + " a"), (7, ""), (7, ""), (8, None)], key=repr)
+    # ids are one document each: 3 - 5 by x, 5 - 9 by y
+    got = sorted((tuple(r) for r in jaccard.link_documents(docs, 5, 80).collect()), key=repr)
+    want = [(3, 4, 3), (5, 4, 3), (5, 3, 3), (9, 3, 3), (None, 4, None), (None, 4, None), (None, 4, None), (1, 5, 1), (1, 5, 1), (7, 0, 7), (7, 0, 7), (8, 0, 8)]
+    assert got == sorted(want, key=repr)
+    assert jaccard.keep_one(docs.limit(0)).count() == 0 and jaccard.link_documents(docs.limit(0)).count() == 0
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{D}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0
