@@ -66,6 +66,17 @@ def pad_mask(ids: Column, pad: int) -> Column:
     return F.transform(ids, lambda x, i: (x != pad) | (i == first))
 
 
+def collated(df: DataFrame, batch: str, order: str, ids: str, labels: str, pad: int, ignore: int = -100) -> DataFrame:
+    """One row for each batch: input_ids, labels and attention_mask, arrays of rows of equal length in ``order``. A batch is a
+    bounded number of records, so it fits a row."""
+    listed = df.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(ids).alias("i"), F.col(labels).alias("y")))).alias("r"), F.max(F.size(ids)).alias("w"))
+    width = F.col("w")
+    return listed.select(
+        batch, F.transform("r", lambda x: padded(x["i"], width, pad)).alias("input_ids"), F.transform("r", lambda x: padded(x["y"], width, ignore)).alias("labels"),
+        F.transform("r", lambda x: F.transform(F.sequence(F.lit(1), F.greatest(width, F.lit(1))), lambda k: k <= F.size(x["i"]))).alias("attention_mask"),
+    )
+
+
 def rolling(df: DataFrame, group: str, order: list[str], value: str, window: int = 20) -> DataFrame:
     """Mean, maximum, lower and averaged median of the last values, and the mean so far."""
     w = Window.partitionBy(group).orderBy(*order)

@@ -50,12 +50,29 @@ def usage(df: DataFrame, size: int, code: str = "code") -> DataFrame:
     )
 
 
+def unit(vector: Column, eps: float = 1e-12) -> Column:
+    """M6: a vector over its length, or over ``eps`` where that is greater."""
+    from .sequences import bound
+
+    length = F.greatest(F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x)), F.lit(eps))
+    return bound(length, lambda n: F.transform(vector, lambda x: x / n))
+
+
+def inner(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def expanded_distance(a: Column, b: Column) -> Column:
+    """M6: squared distance as |a|^2 + |b|^2 - 2 ab."""
+    return inner(a, a) + inner(b, b) - 2 * inner(a, b)
+
+
 def softmax(scores: Column) -> Column:
     """Of an array, shifted by its largest element."""
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda s: F.exp(s - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+    from .sequences import bound
+
+    e = bound(scores, lambda held: bound(F.array_max(held), lambda top: F.transform(held, lambda s: F.exp(s - top))))
+    return bound(e, lambda held: bound(F.aggregate(held, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(held, lambda x: x / total)))
 
 
 def entropies(df: DataFrame, row: str, code: str, distance: str, temperature: float) -> DataFrame:

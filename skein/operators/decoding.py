@@ -162,6 +162,8 @@ def batch_stops(df: DataFrame, batch: str, stop: str) -> DataFrame:
 
 
 def cross_entropy(df: DataFrame, seq: str, logit: str, token: str, target: str) -> DataFrame:
-    """M7: -log softmax of the target token of each sequence."""
-    x = with_probability(df, seq, logit)
-    return x.where(F.col(token) == F.col(target)).select(seq, (-F.ln("p")).alias("loss"))
+    """M7: -log softmax of the target token of each sequence, as an aggregate: log of the sum of exponents, less the target's
+    logit. A sequence whose target is not among its tokens has a null loss."""
+    top = df.groupBy(seq).agg(F.max(logit).alias("_top"), F.max(F.when(F.col(token) == F.col(target), F.col(logit))).alias("_own"))
+    total = df.join(top, seq).groupBy(seq).agg(F.sum(F.exp(F.col(logit) - F.col("_top"))).alias("_sum"), F.first("_top").alias("_top"), F.first("_own").alias("_own"))
+    return total.select(seq, (F.ln("_sum") + F.col("_top") - F.col("_own")).alias("loss"))

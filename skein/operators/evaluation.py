@@ -3,7 +3,7 @@ L16, L17, U3, U6, F15, M8, M14). Keys are explicit id columns; nothing depends o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,9 +21,10 @@ def merged(first: DataFrame, key: str, needed: list[DataFrame], optional: list[D
     return first
 
 
-def updated(table: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
-    """The cells of one column replaced where there is an update; the last one by ``updates`` must be unique by key."""
-    new = updates.select(key, F.col(column).alias("_new"))
+def updated(table: DataFrame, updates: DataFrame, key: str, column: str, order: str | None = None) -> DataFrame:
+    """The cells of one column replaced where there is an update, the last one by ``order`` (without one: the greatest
+    value), so that rows stay as many as they are."""
+    new = updates.groupBy(key).agg(F.max_by(column, order or column).alias("_new"))
     return table.join(new, key, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
@@ -57,16 +58,79 @@ def filled(table: DataFrame, index: str, batch: int, times: int = 1) -> DataFram
     return all_rows.unionByName(again)
 
 
-def next_point(tried: DataFrame, setting: str, score: str, step: float = 0.25) -> DataFrame:
-    """The points one step beside the best (lowest score, then lowest setting) that are not tried yet; none: stop."""
-    best = tried.agg(F.min_by(setting, F.struct(score, setting)).alias("best"))
-    beside = best.select(F.explode(F.array(F.col("best") - step, F.col("best") + step)).alias(setting))
-    return beside.join(tried.select(setting), setting, "left_anti")
+def next_points(searches: DataFrame, tried: DataFrame, group: list[str], setting: str, score: str, order: str, start: float, step: float = 0.25, low: float | None = 1.0, high: float | None = None, increase_first: bool = False) -> DataFrame:
+    """Where each search goes on. ``searches`` has the groups (a schedule with its annotation), ``tried`` what was run.
 
+    Beside the best setting (lowest score, the first of equal ones by ``order``) the point one step lower is next, then the
+    one a step higher, or the other way round with ``increase_first``; points beyond the bounds and points that were tried
+    are passed over. A group that has not begun begins at ``start``. Columns: the group, next (null where the search ends), best (score
+    so far) and ended. Runs without a score count as tried, not as best."""
+    bad = F.col(score).isNull() | F.isnan(F.col(score).cast("double"))
+    best = F.min_by(setting, F.when(~bad, F.struct(score, order)))
+    runs = tried.groupBy(*group).agg(best.alias("_at"), F.min(F.when(~bad, F.col(score))).alias("best"), F.collect_set(setting).alias("_tried"))
+    out = searches.select(*group).distinct().join(runs, group, "left")
+    beside = [F.col("_at") + step, F.col("_at") - step] if increase_first else [F.col("_at") - step, F.col("_at") + step]
 
-def grid(spark: SparkSession, starts: list[float], ends: list[float]) -> DataFrame:
-    """All (start, end) of two short lists of parameters with start below end."""
-    return spark.createDataFrame([(a, b) for a in starts for b in ends if a < b], "start double, end double")
+    def open_(x: Column) -> Column:
+        ok = ~F.array_contains("_tried", x)
+        if low is not None:
+            ok = ok & (x >= low)
+        return ok if high is None else ok & (x <= high)
+
+    point = F.get(F.filter(F.array(*beside), open_), F.lit(0))
+    begun = F.col("_at").isNotNull()
+    return out.select(*group, F.when(begun, point).otherwise(F.lit(float(start))).alias("next"), "best", (begun & point.isNull()).alias("ended"))
+
+
+def grid(starts: DataFrame, ends: DataFrame, start: str, end: str, most: int = 10_000) -> DataFrame:
+    """All pairs of the settings of two tables with start below end, and their annotation. The settings are distinct
+    values, ``most`` of them at either side: more raise, since every start meets every end above it."""
+    from .rows import cut
+
+    a, b = (cut(df.select(F.col(c).cast("double").alias(c)).where(F.col(c).isNotNull()).distinct()) for df, c in ((starts, start), (ends, end)))
+    for side in (a, b):
+        if side.count() > most:
+            raise ValueError(f"more than {most} settings")
+    listed = b.agg(F.array_sort(F.collect_set(end)).alias("_ends"))
+    met = a.join(F.broadcast(listed), how="cross").select(start, F.explode(F.filter("_ends", lambda e: e > F.col(start))).alias(end))
+    return met.withColumn("annotation", F.format_string(f"{start}=%.2f;{end}=%.2f", start, end))
+
+
+def kept_at(url_column: str, index: str, folder: str = "images", suffix: str = ".jpg", width: int = 8) -> Column:
+    """Where a row's image is kept, by its number."""
+    return F.concat(F.lit(f"{folder}/"), F.lpad(F.col(index).cast("string"), width, "0"), F.lit(suffix)).alias(url_column)
+
+
+def pooled(ranks: DataFrame, correct: str, loss: str, total: str) -> DataFrame:
+    """Sums of each rank's sums over the sums of their counts."""
+    return ranks.agg((F.sum(correct) / F.sum(total)).alias("accuracy"), (F.sum(loss) / F.sum(total)).alias("mean_loss"))
+
+
+def head(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows by an explicit order, however the input is cut into batches."""
+    return df.orderBy(*order).limit(n)
+
+
+def without(df: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """All rows but those whose key another set has; repeated rows stay as many."""
+    return df.join(others.select(key).distinct(), key, "left_anti")
+
+
+def batches_of_groups(df: DataFrame, group: str, order: str, size: int) -> DataFrame:
+    """Rows with their batch within the group, and whether it is the group's last, partial one. Numbers in a group come
+    from one order over all rows, less where the group begins: no group is one task."""
+    from .rows import with_row_index
+
+    placed = with_row_index(df, group, order, name="_i")
+    spans = placed.groupBy(group).agg(F.min("_i").alias("_from"), F.count("*").alias("_n")).withColumnRenamed(group, "_g")
+    at = placed.join(spans, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_i", F.col("_i") - F.col("_from"))
+    return at.withColumn("batch", F.floor(F.col("_i") / size)).withColumn("partial", F.col("batch") == F.floor(F.col("_n") / size)).drop("_i", "_g", "_from", "_n")
+
+
+def scaled(x: Column, low: float, high: float, to_low: float, to_high: float, clamp: bool = False) -> Column:
+    """M8: a range of values onto another, in a line; with ``clamp`` not beyond it."""
+    out = (x - low) / (high - low) * (to_high - to_low) + to_low
+    return F.greatest(F.least(out, F.lit(float(max(to_low, to_high)))), F.lit(float(min(to_low, to_high)))) if clamp else out
 
 
 def top_p_probabilities(df: DataFrame, seq: str, p: str, token: str, most: float, keep: int = 1) -> DataFrame:

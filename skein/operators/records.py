@@ -23,6 +23,11 @@ def with_defaults(df: DataFrame, idx: str = "idx") -> DataFrame:
     return df.withColumns({"url": F.coalesce("url", F.lit("")), "timestamp": F.coalesce("timestamp", F.lit("")), "id": F.coalesce("id", F.concat(F.lit("sample_"), F.col(idx).cast("string")))})
 
 
+def complete(df: DataFrame, *needed: str) -> DataFrame:
+    """Rows that failed go: those that lack any of what they need. A batch of which nothing is left is no batch."""
+    return df.where(F.forall(F.array(*[F.col(c).isNotNull() for c in needed]), lambda ok: ok))
+
+
 def unify_image(df: DataFrame, text: str, codes: str) -> DataFrame:
     """Length counts four for each code; rows without a caption go."""
     return df.where(F.col(text).isNotNull()).withColumns({"tokenized": F.lit(True), "data_type": F.lit("image_text"), "length": F.length(text) + 4 * F.size(codes)})

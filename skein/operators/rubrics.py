@@ -46,16 +46,24 @@ def tag_means(scores: DataFrame, tags: DataFrame, idx: str = "idx", tag: str = "
 def gate_scores(questions: str) -> Column:
     """Questions is array<struct<qid:int, yes:double, parents:array<int>>> in order; each score is zero if any parent
     other than 0 has, by then, score zero: gating cascades in order. Returns array<struct<qid, score>>."""
-    empty = F.array().cast("array<struct<qid:int,score:double>>")
+    from .sequences import bound
 
-    def step(done: Column, q: Column) -> Column:
-        # a parent further down still has its raw score when its child is looked at
-        raw = F.transform(questions, lambda x: F.struct(x["qid"].alias("qid"), x["yes"].cast("double").alias("score")))
-        pending = F.filter(raw, lambda r: ~F.exists(done, lambda d: d["qid"] == r["qid"]))
-        blocked = F.exists(F.filter(q["parents"], lambda p: p != 0), lambda p: F.exists(F.concat(done, pending), lambda d: (d["qid"] == p) & (d["score"] == 0)))
-        return F.concat(done, F.array(F.struct(q["qid"].alias("qid"), F.when(blocked, 0.0).otherwise(q["yes"].cast("double")).alias("score"))))
+    def gated(qs: Column) -> Column:
+        # Parents as places; 0 and ids that are no question have none. A place that is not done yet has its raw score.
+        def placed(ids: Column) -> Column:
+            return F.transform(qs, lambda q: F.struct(q["qid"].alias("qid"), q["yes"].cast("double").alias("yes"), F.filter(F.transform(F.filter(q["parents"], lambda p: p != 0), lambda p: (F.array_position(ids, p) - 1).cast("int")), lambda j: j >= 0).alias("at")))
 
-    return F.aggregate(questions, empty, step)
+        def walk(rows: Column) -> Column:
+            def step(done: Column, q: Column) -> Column:
+                blocked = F.exists(q["at"], lambda j: F.coalesce(F.get(done, j), F.get(rows, j)["yes"]) == 0)
+                return F.concat(done, F.array(F.when(blocked, 0.0).otherwise(q["yes"])))
+
+            scores = F.aggregate(rows, F.array().cast("array<double>"), step)
+            return F.zip_with(rows, scores, lambda q, s: F.struct(q["qid"].alias("qid"), s.alias("score")))
+
+        return bound(bound(F.transform(qs, lambda q: q["qid"]), placed), walk)
+
+    return bound(F.col(questions), gated)
 
 
 def dependency_score(df: DataFrame, item: str, crop: str, questions: str = "questions") -> DataFrame:

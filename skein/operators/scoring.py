@@ -22,6 +22,37 @@ def missing_keys(expected: DataFrame, present: DataFrame, key: str) -> DataFrame
     return expected.join(present, key, "left_anti")
 
 
+def required(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join whose left rows must all have a partner: one without raises when the result is computed."""
+    found = left.join(right.withColumn("_found", F.lit(True)), on, "left")
+    return found.where(F.coalesce("_found", F.raise_error(F.concat(F.lit("no partner for "), F.to_json(F.struct(*on)))).cast("boolean"))).drop("_found")
+
+
+def composite_key(image: str, question: str, name: str = "question_id") -> Column:
+    """Image id and question in lower case as one key."""
+    return F.struct(F.col(image).alias("image"), F.lower(question).alias("question")).alias(name)
+
+
+def subset_accuracy(df: DataFrame, correct: Column, inside: Column) -> DataFrame:
+    """Rows, correct ones, and the accuracy in percent of all and of a subset such as prompts with an image (null
+    without such rows)."""
+    return df.agg(
+        F.count("*").alias("total"), F.count_if(correct).alias("correct"), (100 * F.try_divide(F.count_if(correct), F.count("*"))).alias("accuracy"),
+        F.count_if(inside).alias("inside"), (100 * F.try_divide(F.count_if(correct & inside), F.count_if(inside))).alias("inside_accuracy"),
+    )
+
+
+def requery_counters(df: DataFrame, ours: str, judge: str, requery: str, answer: str) -> DataFrame:
+    """The seven counters over predicted choices, where null is a failed answer: all rows, judge failed, judge correct, judge
+    correct or, where it failed, ours, ours correct, requery correct (ours where it failed), either correct."""
+    right = {c: F.coalesce(F.col(c) == F.col(answer), F.lit(False)) for c in (ours, judge, requery)}
+    failed = F.col(judge).isNull()
+    return df.agg(
+        F.count("*").alias("total"), F.count_if(failed).alias("judge_failed"), F.count_if(right[judge]).alias("judge_correct"), F.count_if(F.when(failed, right[ours]).otherwise(right[judge])).alias("judge_or_ours_correct"),
+        F.count_if(right[ours]).alias("our_correct"), F.count_if(F.when(F.col(requery).isNull(), right[ours]).otherwise(right[requery])).alias("requery_correct"), F.count_if(right[judge] | right[ours]).alias("upper_bound"),
+    )
+
+
 def confusion(df: DataFrame, predicted: Column, actual: Column, *group: str) -> DataFrame:
     """Counts, accuracy, precision, recall, F1 and share of yes; NULL where a ratio has no denominator."""
     out = df.groupBy(*group).agg(

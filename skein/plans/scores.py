@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import batching, codes, decoding, manifold, records, rows, rubrics, scoring
+from ..operators import batching, codes, decoding, manifold, records, rows, rubrics, scoring, sequences
 from .catalog import q, query, r6, rounded, t
 
 CONFUSED = "count(*) FILTER (p AND a) AS tp, count(*) FILTER (p AND NOT a) AS fp, count(*) FILTER (NOT p AND NOT a) AS tn, count(*) FILTER (NOT p AND a) AS fn"
@@ -161,11 +161,12 @@ def code_remap(spark, sf_dir):
     return codes.remap(coded, table, 99).select("vec_id", "new_code")
 
 
-@query("SELECT vec_id, list_sum(list_transform(range(1, 9), lambda i: CASE WHEN embedding[i] > 0 THEN 1 << (i - 1) ELSE 0 END))::BIGINT AS code, len(list_filter(embedding[1:8], lambda x: x > 0)) AS positive FROM embeddings")
+@query("SELECT vec_id, book, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN part[i] > 0 THEN 1 << (i - 1) ELSE 0 END))::BIGINT AS code, len(list_filter(part, lambda x: x > 0)) AS positive FROM (SELECT vec_id, b AS book, embedding[16 * b + 1:16 * b + 16] AS part FROM embeddings, range(4) r(b))")
 def lookup_free_code(spark, sf_dir):
-    """M12 and its inverse."""
-    code = codes.sign_code(F.slice("embedding", 1, 8))
-    return t(spark, sf_dir, "embeddings").select("vec_id", code.alias("code"), F.size(F.filter(codes.code_signs(code, 8), lambda x: x > 0)).cast("long").alias("positive"))
+    """M12 and its inverse, Q22: all dimensions, as four codebooks of 16 bits."""
+    x = t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(sequences.split_codebooks(F.col("embedding"), 4)).alias("book", "part"))
+    x = x.select("vec_id", F.col("book").cast("long").alias("book"), codes.sign_code(F.col("part")).alias("code"))
+    return x.withColumn("positive", F.size(F.filter(codes.code_signs(F.col("code"), 16), lambda x: x > 0)).cast("long"))
 
 
 @query("WITH d AS (SELECT vec_id, list_transform(range(1, 4), lambda i: (round_even(tanh(embedding[i]::DOUBLE * 4) * (CASE i WHEN 1 THEN 3.5 WHEN 2 THEN 2 ELSE 2 END) - CASE i WHEN 1 THEN 0.5 ELSE 0 END, 0) + CASE i WHEN 1 THEN 4 ELSE 2 END)::INT) AS d FROM embeddings) SELECT vec_id, (d[1] + d[2] * 8 + d[3] * 40)::BIGINT AS code, d[3] AS third FROM d")
@@ -177,9 +178,6 @@ def mixed_radix_code(spark, sf_dir):
     return x.select("vec_id", "code", codes.radix_digits(F.col("code"), levels)[2].cast("int").alias("third"))
 
 
-COV_ROWS = " UNION ALL ".join(f"SELECT label, {i - 1} AS i, {j - 1} AS j, round(avg(embedding[{i}]::DOUBLE), 6) AS mean_i, round(covar_samp(embedding[{i}]::DOUBLE, embedding[{j}]::DOUBLE), 6) AS cov FROM embeddings GROUP BY label" for i in range(1, 5) for j in range(i, 5))
-
-
 @query("WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) SELECT a.label, a.i, b.i AS j, round(avg(a.x), 6) AS mean_i, round(covar_samp(a.x, b.x), 6) AS cov FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.label, a.i, b.i")
 def mean_cov(spark, sf_dir):
     """A30 over all dimensions."""
@@ -344,10 +342,10 @@ def resume_anti(spark, sf_dir):
     return left.groupBy((F.col("user_id") % 100).alias("k")).agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"))
 
 
-@query("WITH p AS (SELECT vec_id, vec_id // 100 AS split, list_transform(embedding[1:8], lambda x: exp(x::DOUBLE * 4)) AS e FROM embeddings), n AS (SELECT vec_id, split, list_transform(e, lambda x: x / list_sum(e)) AS p FROM p), x AS (SELECT vec_id, split, unnest(p) AS p, unnest(range(8)) AS c FROM n), m AS (SELECT *, avg(p) OVER (PARTITION BY split, c) AS m FROM x), k AS (SELECT split, sum(p * (ln(p) - ln(m))) AS kl FROM m GROUP BY split, vec_id), s AS (SELECT exp(avg(kl)) AS s FROM k GROUP BY split) SELECT round(avg(s), 6) AS inception_score FROM s")
+@query("WITH p AS (SELECT vec_id, vec_id // 100 AS split, list_transform(embedding, lambda x: exp(x::DOUBLE * 4)) AS e FROM embeddings), n AS (SELECT vec_id, split, list_transform(e, lambda x: x / list_sum(e)) AS p FROM p), x AS (SELECT vec_id, split, unnest(p) AS p, unnest(range(len(p))) AS c FROM n), m AS (SELECT *, avg(p) OVER (PARTITION BY split, c) AS m FROM x), k AS (SELECT split, sum(p * (ln(p) - ln(m))) AS kl FROM m GROUP BY split, vec_id), s AS (SELECT exp(avg(kl)) AS s FROM k GROUP BY split) SELECT round(avg(s), 6) AS inception_score FROM s")
 def inception_score(spark, sf_dir):
-    """A32, M7."""
-    p = codes.softmax(F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 8), lambda x: x * 4))
+    """Over all dimensions."""
+    p = codes.softmax(F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 4))
     e = t(spark, sf_dir, "embeddings").select("vec_id", p.alias("p"))
     return rounded(manifold.inception_score(e, 100, "vec_id", "p"), "inception_score")
 

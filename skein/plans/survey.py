@@ -56,7 +56,7 @@ def attached_codes(spark, sf_dir):
 @query("SELECT page_id, 'images/' || lpad(page_id::VARCHAR, 8, '0') || '.jpg' AS image_url FROM pages")
 def image_urls(spark, sf_dir):
     """The image column gives way to where it is kept."""
-    return t(spark, sf_dir, "pages").withColumn("image_url", F.concat(F.lit("images/"), F.lpad(F.col("page_id").cast("string"), 8, "0"), F.lit(".jpg"))).drop("html", "url")
+    return t(spark, sf_dir, "pages").select("page_id", E.kept_at("image_url", "page_id"))
 
 
 @query("SELECT CASE WHEN contains(name, '0613') THEN '0613' ELSE '0314' END AS version, count(*) AS n FROM (SELECT 'review-' || o_orderkey AS name, o_orderkey AS k FROM orders) WHERE k NOT IN (7, 39) AND contains(name, '1') GROUP BY version")
@@ -78,7 +78,7 @@ def caption_choices(spark, sf_dir):
 def pooled_means(spark, sf_dir):
     """Sums of each rank's sums over the sums of their counts."""
     ranks = t(spark, sf_dir, "events").groupBy((F.col("user_id") % 8).alias("rank")).agg(F.count_if(F.col("event_type") == "click").alias("correct"), F.count("*").alias("total"), F.sum("value").alias("loss"))
-    return ranks.agg(r6(F.sum("correct") / F.sum("total")).alias("accuracy"), r6(F.sum("loss") / F.sum("total")).alias("mean_loss"))
+    return E.pooled(ranks, "correct", "loss", "total").select(r6("accuracy").alias("accuracy"), r6("mean_loss").alias("mean_loss"))
 
 
 @query("WITH n AS (SELECT count(*) * 3 AS n FROM documents), a AS (SELECT doc_id, doc_id * 3 + k AS position FROM documents, range(3) r(k)) SELECT doc_id, position FROM a UNION ALL SELECT doc_id, position + n FROM a, n WHERE position < (64 - n % 64) % 64")
@@ -90,20 +90,25 @@ def filled_batches(spark, sf_dir):
 @query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 100")
 def head_rows(spark, sf_dir):
     """The first rows by an explicit order, however the input is cut into batches."""
-    return t(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").orderBy("o_orderdate", "o_orderkey").limit(100)
+    return E.head(t(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), 100, "o_orderdate", "o_orderkey")
 
 
-@query("WITH s AS (SELECT round(1 + (o_orderkey % 9) * 0.25, 2)::DOUBLE AS cfg, avg(o_totalprice) AS fid FROM orders WHERE o_orderkey % 9 <> 4 GROUP BY cfg), b AS (SELECT arg_min(cfg, fid) AS b FROM s) SELECT cfg FROM (SELECT unnest([b - 0.25, b + 0.25]) AS cfg FROM b) WHERE cfg NOT IN (SELECT cfg FROM s)")
+BESIDE = "list_filter([pt - 0.25, pt + 0.25], lambda x: x >= 1.0 AND x <= 3.0 AND NOT list_contains(tried, x))[1]"
+
+
+@query(f"WITH s AS (SELECT o_orderstatus, o_orderpriority, o_orderkey, 1 + (o_orderkey % 9) * 0.25::DOUBLE AS cfg, o_totalprice AS fid FROM orders WHERE o_orderstatus <> 'P' AND (o_orderkey % 9 + length(o_orderpriority)) % 4 <> 0), r AS (SELECT o_orderstatus, o_orderpriority, arg_min(cfg, (fid, o_orderkey)) AS pt, min(fid) AS best, list(DISTINCT cfg) AS tried FROM s GROUP BY ALL), g AS (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders) SELECT o_orderstatus, o_orderpriority, CASE WHEN pt IS NULL THEN 2.0 ELSE {BESIDE} END::DOUBLE AS next, best, pt IS NOT NULL AND {BESIDE} IS NULL AS ended FROM g LEFT JOIN r USING (o_orderstatus, o_orderpriority)")
 def next_search_point(spark, sf_dir):
-    """L16."""
-    s = t(spark, sf_dir, "orders").where("o_orderkey % 9 <> 4").groupBy(F.round(1 + (F.col("o_orderkey") % 9) * 0.25, 2).cast("double").alias("cfg")).agg(F.avg("o_totalprice").alias("fid"))
-    return E.next_point(s, "cfg", "fid")
+    """A search for each status and priority; those of one status have not begun."""
+    o = t(spark, sf_dir, "orders")
+    tried = o.where("o_orderstatus <> 'P' and (o_orderkey % 9 + length(o_orderpriority)) % 4 <> 0").select("o_orderstatus", "o_orderpriority", "o_orderkey", "o_totalprice", (1 + (F.col("o_orderkey") % 9) * 0.25).cast("double").alias("cfg"))
+    return E.next_points(o, tried, ["o_orderstatus", "o_orderpriority"], "cfg", "o_totalprice", "o_orderkey", 2.0, high=3.0)
 
 
-@query("SELECT s / 20.0::DOUBLE AS start, e / 20.0::DOUBLE AS \"end\" FROM range(0, 20) a(s), range(10, 21) b(e) WHERE s < e")
+@query("WITH a AS (SELECT DISTINCT round(l_discount * 10, 2) AS s FROM lineitem), b AS (SELECT DISTINCT round(l_tax * 10 + 0.15, 2) AS e FROM lineitem) SELECT s AS start, e AS \"end\", printf('start=%.2f;end=%.2f', s, e) AS annotation FROM a, b WHERE s < e")
 def search_grid(spark, sf_dir):
-    """L17."""
-    return E.grid(spark, [k / 20 for k in range(20)], [k / 20 for k in range(10, 21)])
+    """Windows from the settings that two tables hold."""
+    l = t(spark, sf_dir, "lineitem")  # noqa: E741
+    return E.grid(l.select(F.round(F.col("l_discount") * 10, 2).alias("start")), l.select(F.round(F.col("l_tax") * 10 + 0.15, 2).alias("end")), "start", "end")
 
 
 @query("WITH p AS (SELECT o_custkey AS seq, o_orderkey AS token, o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey) AS p FROM orders), c AS (SELECT *, sum(p) OVER (PARTITION BY seq ORDER BY p DESC, token ROWS UNBOUNDED PRECEDING) - p AS c, row_number() OVER (PARTITION BY seq ORDER BY p DESC, token) AS r FROM p), k AS (SELECT seq, token, p / sum(p) OVER (PARTITION BY seq) AS p FROM c WHERE c <= 0.45 OR r <= 2) SELECT seq, token, round(p, 6) AS p FROM k")
@@ -120,19 +125,14 @@ def topp_min_tokens(spark, sf_dir):
 def except_labelled(spark, sf_dir):
     """All without those of another set."""
     d = t(spark, sf_dir, "documents").select("doc_id", "source")
-    return d.exceptAll(d.join(t(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")).groupBy("source").agg(F.count("*").alias("n"))
+    return E.without(d, t(spark, sf_dir, "labels"), "doc_id").groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("WITH g AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT lang, i // 32 AS batch, i >= n // 32 * 32 AS partial, count(*) AS rows, sum(doc_id)::BIGINT AS id_sum FROM g GROUP BY ALL")
 def last_partials(spark, sf_dir):
     """Full batches of each group, and behind them the groups' last partial ones."""
-    from pyspark.sql import Window
-
-    d = t(spark, sf_dir, "documents").select("doc_id", "lang")
-    g = d.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("lang")))
-    size = F.floor(F.col("n") / 32) * 32
-    parts = [g.where(F.col("i") < size).withColumn("partial", F.lit(False)), g.where(F.col("i") >= size).withColumn("partial", F.lit(True))]
-    return parts[0].unionByName(parts[1]).groupBy("lang", F.floor(F.col("i") / 32).alias("batch"), "partial").agg(F.count("*").alias("rows"), F.sum("doc_id").alias("id_sum"))
+    d = E.batches_of_groups(t(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 32)
+    return d.groupBy("lang", "batch", "partial").agg(F.count("*").alias("rows"), F.sum("doc_id").alias("id_sum"))
 
 
 @query("WITH p AS (SELECT page_id, trim(CASE WHEN page_id % 3 = 0 THEN '/runs/' || page_id || '/checkpoint-' || page_id || '/' ELSE url END, '/') AS u FROM pages), s AS (SELECT page_id, string_split(u, '/') AS s FROM p) SELECT page_id, CASE WHEN starts_with(s[-1], 'checkpoint-') THEN s[-2] || '_' || s[-1] ELSE s[-1] END AS name FROM s")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import tarfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,34 +55,18 @@ def shard_sample(files: DataFrame, share: float, seed: int, tail: bool = False)
 
 
 def tar_members(spark: SparkSession, path: str) -> DataFrame:
-    """Url, pos, key, suffix, data of the members of every tar; a tar that cannot be read to its end gives what it can."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tar").load(path).select("path", "content")
+    """Url, pos, key, suffix, part, data and error of the members of every tar (see ``tars``): a damaged archive says so
+    in a row of its own."""
+    from . import tars
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for url, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                        for pos, member in enumerate(tar):
-                            if member.isfile():
-                                folder, _, name = member.name.rpartition("/")
-                                key, _, suffix = name.partition(".")
-                                rows.append((url, pos, f"{folder}/{key}" if folder else key, suffix.lower(), tar.extractfile(member).read()))
-                except tarfile.TarError:
-                    pass
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["url", "pos", "key", "suffix", "data"])
-
-    return files.mapInArrow(read, "url string, pos long, key string, suffix string, data binary")
+    return tars.members(spark, path)
 
 
 def tar_samples(spark: SparkSession, path: str) -> DataFrame:
     """Members of one sample as a map from suffix to data."""
-    from ..operators.batching import sessions
+    from . import tars
 
-    grouped = sessions(tar_members(spark, path), "pos", "key", "suffix")
-    return grouped.groupBy("url", "sample").agg(F.min("pos").alias("pos"), F.first("key").alias("key"), F.map_from_entries(F.collect_list(F.struct("suffix", "data"))).alias("members"))
+    return tars.samples(tars.whole(tars.members(spark, path)))
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:

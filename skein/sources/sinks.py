@@ -79,6 +79,29 @@ def save_blobs(blobs: DataFrame, folder: str) -> DataFrame:
     return blobs.mapInArrow(write, "tar_id long, n long, path string")
 
 
+def npy_files(df: DataFrame, idx: str, vector: str, folder: str, per_file: int) -> DataFrame:
+    """Vectors as .npy files of ``per_file`` rows, in a folder that all executors share; file, n and path of each. ``idx``
+    counts from 0 without gaps; a file is a bounded number of rows."""
+    import numpy as np
+    import pandas as pd
+
+    def save(part: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        out, number = io.BytesIO(), int(part["file"].iloc[0])
+        np.save(out, np.stack(part.sort_values("idx")["vec"].to_list()).astype(np.float32))
+        temp, name = f"{root}/.{uuid.uuid4().hex}", f"{root}/{number:06d}.npy"
+        with system.open_output_stream(temp) as f:
+            f.write(out.getvalue())
+        system.move(temp, name)  # the last attempt's file is whole
+        return pd.DataFrame({"file": [number], "n": [len(part)], "path": [name]})
+
+    numbered = df.select(F.floor(F.col(idx) / per_file).alias("file"), F.col(idx).alias("idx"), F.col(vector).alias("vec"))
+    return numbered.groupBy("file").applyInPandas(save, "file long, n long, path string")
+
+
 def resolved_names(files: DataFrame, folder: str = "folder", name: str = "name", order: str = "path") -> DataFrame:
     """K8: folder_name for each file, with _k behind it from the second file of that name on."""
     from pyspark.sql import Window

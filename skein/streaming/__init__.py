@@ -22,7 +22,7 @@ def sliding_metrics(stream: DataFrame, key: str, order: str, value: str, window:
         last = list(last)
         rows = pd.concat(list(batches)).sort_values(order)
         for v in rows[value]:
-            last, n, total = [*last[-(window - 1) :], float(v)], n + 1, total + float(v)
+            last, n, total = [*last, float(v)][-window:], n + 1, total + float(v)
         state.update((last, n, total))
         yield pd.DataFrame({key: [k[0]], "n": [n], "avg": [sum(last) / len(last)], "max": [max(last)], "global_avg": [total / n]})
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from skein.plans import catalog, scores, streams, survey, tokens  # noqa: F401
+from skein.plans import assembly, catalog, files, runs, scores, streams, survey, tokens  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 
