@@ -28,6 +28,16 @@ def question_table(lines: DataFrame, order: str, item: str = "item_id", qid: str
     return kept.select("item", "qid", "place", F.col("x.tuple").alias("tuple"), parents(F.col("x.dependency")).alias("parents"), F.col("x.question").alias("question"))
 
 
+def parent_scores(questions: DataFrame, scores: DataFrame) -> DataFrame:
+    """Each question with its parents' answers, by a join within the item: item, qid, parents (how many were asked) and
+    blocked, whether one of them was answered no. Parent 0 is none, and one that was not asked blocks nothing. ``scores`` has item, qid,
+    score."""
+    wanted = questions.select("item", "qid", F.explode_outer("parents").alias("parent"))
+    asked = scores.select(F.col("item").alias("_i"), F.col("qid").alias("_q"), "score")
+    met = wanted.join(asked, F.col("item").eqNullSafe(F.col("_i")) & (F.col("parent") == F.col("_q")) & (F.col("parent") != 0), "left")
+    return met.groupBy("item", "qid").agg(F.count("score").alias("parents"), F.coalesce(F.max(F.col("score") == 0), F.lit(False)).alias("blocked"))
+
+
 def category_means(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Per level (1, 2) and category the mean score and the number of scores, over the items that have answers.
 

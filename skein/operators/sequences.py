@@ -34,8 +34,7 @@ def word_ids(text: Column, vocab: int) -> Column:
 
 def byte_ids(text: Column) -> Column:
     """UTF-8 bytes as ids."""
-    h = F.hex(F.encode(text, "UTF-8"))
-    return F.when(F.length(h) > 0, F.transform(F.sequence(F.lit(0), F.floor(F.length(h) / 2).cast("int") - 1), lambda i: F.conv(h.substr(i * 2 + 1, F.lit(2)), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int"))
 
 
 def offset_codes(codes: Column, vocab: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import batching, codes, conversation, decoding, rows, sequences
+from ..operators import batching, codes, conversation, decoding, rows, sequences, tokenizers
 from .catalog import BOI, EOI, EOS, PAD, TOKENS_SQL, VOCAB, query, rounded, t, tokens, turns_of
 
 # Q9, Q10: conversations of which every second has an image mark in its third turn (or in none, if it is shorter)
@@ -147,3 +147,27 @@ def trimmed_reviews(spark, sf_dir):
     words = F.concat(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " ")), F.lit(" end"))
     review = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("8 7.5\n"), words, F.lit("\n  "))).otherwise(F.concat(F.lit("  \n"), words, F.lit("\n")))
     return t(spark, sf_dir, "documents").select("doc_id", F.md5(T.trim_hanging(review).cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 OR coalesce(text, '') = '' THEN NULL ELSE list_sum(list_transform(range(16), lambda i: (i + 1) * (('0x' || md5(text || i)[1:7])::BIGINT % 8192)))::BIGINT END AS digest FROM documents")
+def image_codes(spark, sf_dir):
+    """Bytes to codes by a tokenizer that each task makes; what is null or no image has no codes."""
+    d = t(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 > 0, F.coalesce("text", F.lit("")).cast("binary")).alias("image"), F.lit("clash").alias("codes"))
+    made = tokenizers.with_codes(d, "image", tokenizers.DigestCodes)
+    total = F.aggregate(F.transform("codes", lambda c, i: (i + 1) * c.cast("long")), F.lit(0).cast("long"), lambda a, v: a + v)
+    return made.select("doc_id", total.alias("digest"))
+
+
+@query(f"WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), b AS (SELECT doc_id, length(h) // 2 AS n, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT) AS ids FROM h) SELECT doc_id, n, {sql_digest('ids')}::BIGINT AS digest FROM b")
+def byte_ids(spark, sf_dir):
+    """UTF-8 bytes as ids."""
+    d = tokenizers.with_text_ids(t(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "utf8_bytes")
+    return d.select("doc_id", F.size("ids").cast("long").alias("n"), digest("ids").alias("digest"))
+
+
+@query("SELECT vec_id, list_sum(list_transform(embedding, lambda x: trunc(((1 - (abs(x::DOUBLE) * 500 % 256)::INT / 255.0::DOUBLE) + (abs(x::DOUBLE) * 500 % 256)::INT / 255.0::DOUBLE * ((vec_id * 7 % 256) / 255.0::DOUBLE)) * 255 + 1e-9)))::BIGINT AS red FROM embeddings")
+def whitened_pixels(spark, sf_dir):
+    """M9: pixels over white; transparency from a vector's parts."""
+    alpha = lambda x: F.rint(F.abs(x.cast("double")) * 500 % 256).cast("int")
+    e = t(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.struct((F.col("vec_id") * 7 % 256).alias("r"), F.lit(0).alias("g"), F.lit(255).alias("b"), alpha(x).alias("a"))).alias("p"))
+    return e.select("vec_id", tokenizers.whitened("p")).select("vec_id", F.aggregate("rgb", F.lit(0).cast("long"), lambda s, p: s + p["r"]).alias("red"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..operators import records, rows
-from ..sources import sinks
+from ..sources import sinks, tars
 from .catalog import query, t
 
 
@@ -150,3 +150,23 @@ def chosen_once(spark, sf_dir):
     """One of several options for each row, by a number that follows from its id."""
     pick = (rows.lcg("doc_id", 0) % 3).cast("int")
     return documents(spark, sf_dir).select("doc_id", F.get(F.array(F.lit("a"), F.lit("b"), F.lit("c")), pick).alias("choice"))
+
+
+@query("SELECT doc_id % 8 AS chunk, row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) AS line_no, doc_id FROM documents")
+def chunk_answers(spark, sf_dir):
+    """Answers that eight workers wrote, put together in the order of chunks and lines."""
+    out = folder(spark, "chunks")
+    placed = documents(spark, sf_dir).select(F.to_json(F.struct("doc_id")).alias("value"), (F.col("doc_id") % 8).alias("chunk"), "doc_id")
+    placed.repartition(8, "chunk").sortWithinPartitions("chunk", "doc_id").drop("doc_id").write.partitionBy("chunk").text(out)
+    return sources.concatenated(spark, out).select("chunk", F.col("line_no").cast("long").alias("line_no"), F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"))
+
+
+@query("SELECT doc_id, coalesce(text, '') AS text, CASE WHEN doc_id % 3 = 0 THEN source ELSE 'no' END AS source, 'no' AS url, CASE WHEN doc_id % 3 = 0 THEN 'd' || doc_id ELSE 'no' END AS id FROM documents WHERE doc_id % 5 IN (0, 1, 3)")
+def paired_samples(spark, sf_dir):
+    """Samples with a caption and some kind of image, as records; what their metadata does not say is 'no'."""
+    k, data = F.col("doc_id"), F.col("text").cast("binary")
+    image = F.when(k % 5 == 0, "jpg").when(k % 5 == 1, "webp").when(k % 5 == 2, "mp4").otherwise("png")
+    said = F.when(k % 3 == 0, F.to_json(F.struct("source", F.concat(F.lit("d"), k.cast("string")).alias("id")))).when(k % 3 == 1, F.lit("{broken"))
+    caption = F.when(k % 5 == 4, "cap").otherwise("txt")
+    d = documents(spark, sf_dir).select(k, F.map_from_arrays(F.array(caption, image, F.lit("json")), F.array(data, F.lit(b"\x00"), said.cast("binary"))).alias("members"))
+    return tars.unified(tars.captioned(d)).select("doc_id", "text", "source", "url", "id")

@@ -180,6 +180,14 @@ def category_means(spark, sf_dir):
     return rounded(questions.category_means(out, answers), "mean")
 
 
+@query(f"WITH {TABLE}, p AS (SELECT item, qid, unnest(string_split(replace(dependency, ' ', ''), ','))::INT AS parent FROM t), s AS (SELECT item, qid, ((item + qid) % 3 > 0)::INT AS score FROM t WHERE qid <> 4), m AS (SELECT p.item, p.qid, s.score FROM p LEFT JOIN s ON s.item = p.item AND s.qid = p.parent AND p.parent <> 0) SELECT item, qid::INT AS qid, count(score) AS parents, coalesce(bool_or(score = 0), false) AS blocked FROM m GROUP BY ALL")
+def blocked_questions(spark, sf_dir):
+    """Parents by a self-join within the item."""
+    out = rows.cut(questions.question_table(question_lines(spark, sf_dir), "event_id", "item", "qid"))
+    scores = out.where("qid <> 4").select("item", "qid", ((F.col("item") + F.col("qid")) % 3 > 0).cast("int").alias("score"))
+    return questions.parent_scores(out, scores)
+
+
 # M4, Q24: a word's token is its length, at most 7
 
 TOKENS = "SELECT doc_id, list_transform(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''), lambda w: least(length(w), 7)) AS ids FROM documents"

@@ -77,6 +77,16 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return text.withColumn("line_no", F.row_number().over(Window.partitionBy("file").orderBy("_b", "_m"))).drop("_b", "_m")
 
 
+def concatenated(spark: SparkSession, path: str) -> DataFrame:
+    """Chunk files as one: chunk (the last number of a file's name), line_no and value; ``orderBy("chunk", "line_no")`` is the
+    order of the whole."""
+    found = lines(spark, path)
+    name = F.regexp_extract("file", r"([^/]*)$", 1)
+    parent = F.regexp_extract("file", r"chunk=(\d+)/[^/]*$", 1)
+    number = F.when(parent != "", parent).otherwise(F.regexp_extract(name, r"(\d+)\D*$", 1))
+    return found.select(number.try_cast("long").alias("chunk"), "line_no", "value")
+
+
 def named_objects(spark: SparkSession, path: str, value_ddl: str) -> DataFrame:
     """An object of objects; each key becomes the column name."""
     whole = spark.read.option("wholetext", True).text(path)

@@ -86,6 +86,20 @@ def samples(rows: DataFrame, suffixes: list[str] | None = None) -> DataFrame:
     return kept.groupBy("url", "sample").agg(F.min("pos").alias("pos"), F.first("key").alias("key"), F.map_from_entries(F.collect_list(F.struct("suffix", "data"))).alias("members"))
 
 
+def captioned(found: DataFrame, members: str = "members") -> DataFrame:
+    """Samples with a caption and an image, of whatever kind."""
+    keys = F.map_keys(members)
+    return found.where(F.array_contains(keys, "txt") & F.arrays_overlap(keys, F.array(*[F.lit(x) for x in ("png", "jpg", "jpeg", "webp")])))
+
+
+def unified(found: DataFrame, members: str = "members") -> DataFrame:
+    """Samples as unified records: text from the txt member, source, url and id from the json member, 'no' where it says
+    nothing or cannot be read."""
+    said = F.col(members)["json"].cast("string")
+    of = {c: F.coalesce(F.get_json_object(said, f"$.{c}"), F.lit("no")) for c in ("source", "url", "id")}
+    return found.withColumns({"text": F.col(members)["txt"].cast("string"), "data_type": F.lit("text_pretrain"), **of})
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Archives that could not be read to their end: url, pos of the damage, error."""
     return rows.where("error is not null").select("url", "pos", "error")
