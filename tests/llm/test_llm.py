@@ -149,6 +149,33 @@ def test_packing_keeps_every_id_once(spark, size):
         assert at == size or at & (at - 1) == 0
 
 
+def test_packing_hardly_depends_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    figures = []
+    for n in (1, 200):
+        got = packing.pack(docs.repartition(n)).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("pieces")).collect()
+        figures.append((sum(r.n < 2048 for r in got), sum(r.pieces for r in got), sum(r.n for r in got)))
+        assert all(r.n == 2048 or r.n & (r.n - 1) == 0 for r in got)
+    (short_1, pieces_1, tokens_1), (short_200, pieces_200, tokens_200) = figures
+    assert tokens_1 == tokens_200 and max(short_1, short_200) <= 11 and abs(pieces_200 - pieces_1) <= 0.1 * pieces_1
+
+
+def test_the_lowest_cost_with_room_is_chosen():
+    rng = np.random.default_rng(7)
+    lengths = rng.integers(1, 2048, 300)
+    seqs, caps = packing.deal(lengths, 2048, 1.0, 1 / 1024)
+    room, cost, placed = list(caps), [0.0] * len(caps), [[] for _ in caps]
+    for item in sorted(range(300), key=lambda i: (-lengths[i], i)):
+        n = int(lengths[item])
+        fits = [k for k in range(len(caps)) if room[k] >= n]
+        if fits:
+            k = min(fits, key=lambda k: (cost[k], k))
+            placed[k].append((item, 0, n))
+            room[k] -= n
+            cost[k] += n + n * n / 1024
+    assert all(s[: len(p)] == p for s, p in zip(seqs, placed, strict=True))
+
+
 def test_deal_is_balanced():
     lengths = np.random.default_rng(2).integers(1, 2048, 300)
     seqs, caps = packing.deal(lengths, 2048, 1.0, 1 / 1024)
