@@ -149,6 +149,39 @@ def test_packing_keeps_every_id_once(spark, size):
         assert at == size or at & (at - 1) == 0
 
 
+def test_risk_gradients_against_differences():
+    rng = np.random.default_rng(11)
+    plus, minus = (lambda z: np.logaddexp(0, -z)), (lambda z: np.logaddexp(0, z))  # losses of calling a score positive, negative
+    branches = set()
+    for shift, prior in ((-3.0, 0.1), (0.0, 0.3), (4.0, 0.5), (-6.0, 0.5)):
+        z_pos, z_unl = rng.normal(size=6) + abs(shift), rng.normal(size=9) + shift
+        rest = lambda a, b, prior=prior: minus(b).mean() - prior * minus(a).mean()
+        below = rest(z_pos, z_unl) < 0
+        branches.add(bool(below))
+        # the whole risk where its second part is positive, else that part alone, turned round
+        risk = (lambda a, b: -rest(a, b)) if below else (lambda a, b, prior=prior: prior * plus(a).mean() + rest(a, b))
+        got = toxicity.gradients(z_pos, z_unl, prior)
+        for k, z in enumerate((z_pos, z_unl)):
+            for i in range(len(z)):
+                up, down = [z_pos.copy(), z_unl.copy()], [z_pos.copy(), z_unl.copy()]
+                up[k][i] += 1e-5
+                down[k][i] -= 1e-5
+                assert abs((risk(*up) - risk(*down)) / 2e-5 - got[k][i]) < 1e-6
+    assert branches == {True, False}
+
+
+def test_thinned_features_learn_the_same():
+    rng = np.random.default_rng(12)
+    docs = [np.unique(rng.integers(0, 400, 40)).astype("<u4") for _ in range(120)]
+    pos = [np.unique(np.append(d, [500, 501])).astype("<u4") for d in docs[:40]]
+    unl = docs[40:] + pos[:10]
+    size = 1 << toxicity.BITS
+    scale = toxicity.scales(*(np.bincount(np.concatenate(d), minlength=size).astype(float) for d in (pos, unl)), len(pos), len(unl))
+    thin = [[d[scale[d] != 0] for d in side] for side in (pos, unl)]
+    a, b = toxicity.learn(pos, unl, 0.2), toxicity.learn(*thin, 0.2, scale=scale)
+    assert np.array_equal(a[0], b[0]) and a[1] == b[1]
+
+
 def test_packing_hardly_depends_on_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     figures = []
