@@ -8,11 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Codes that a task holds at most.
+MOST_CODES = 1 << 20
+
+
 def nearest_code(df: DataFrame, codebook: DataFrame, vector: str = "embedding", cosine: bool = False) -> DataFrame:
     """The code of least squared distance (or largest cosine), of equals the first, by tiles of matrix products.
 
     A codebook is bounded by its vocabulary (some 10^5 codes); it is collected once and sent to the tasks.
     """
+    if codebook.limit(MOST_CODES + 1).count() > MOST_CODES:
+        raise ValueError(f"a codebook of more than {MOST_CODES} codes")
     rows = sorted((r[0], r[1]) for r in codebook.select("code", "vec").collect())
     codes, book = np.array([r[0] for r in rows], np.int32), np.array([r[1] for r in rows], np.float64)
     if cosine:

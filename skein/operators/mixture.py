@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,21 +17,17 @@ def parse_spec(names: str, fractions: str, sep: str = "^^") -> list[tuple[int, s
 def prefix_mixture(df: DataFrame, dataset: str, order: str, spec: list[tuple[int, str, float]]) -> DataFrame:
     """The first int(n * fraction) rows of each data set in the spec, in order; a data set may be in it twice.
 
-    Rows are counted by (data set, range of the order column): no window sees more than one range, so a data set with a
-    third of all rows is no hot task.
+    Rows are numbered in one order of data set and order column, less where their data set begins: a data set with a third of
+    all rows is many ranges of that order, and no window sees it. What is broadcast has a row for each entry of the spec.
     """
-    spark = df.sparkSession
-    table = F.broadcast(spark.createDataFrame(spec, "mix_pos int, _name string, fraction double"))
-    marks = sorted(set(df.approxQuantile(order, [i / 16 for i in range(1, 16)], 0.01)))
-    place = sum((F.when(F.col(order) >= m, 1).otherwise(0) for m in marks), F.lit(0))
-    ranged = df.withColumn("_range", place)
-    sizes = ranged.groupBy(dataset, "_range").agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(dataset).orderBy("_range")
-    before = sizes.select(F.col(dataset).alias("_d"), F.col("_range").alias("_r"), (F.sum("_c").over(w) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy(dataset)).alias("_n"))
-    numbered = ranged.withColumn("_i", F.row_number().over(Window.partitionBy(dataset, "_range").orderBy(order)) - 1)
-    placed = numbered.join(F.broadcast(before), (F.col(dataset) == F.col("_d")) & (F.col("_range") == F.col("_r")))
-    mixed = placed.join(table, F.col(dataset) == F.col("_name"))
-    return mixed.where(F.col("_before") + F.col("_i") < F.floor(F.col("_n").cast("double") * F.col("fraction"))).drop("_range", "_i", "_d", "_r", "_before", "_n", "_name", "fraction")
+    from .rows import with_row_index
+
+    table = F.broadcast(df.sparkSession.createDataFrame(spec, "mix_pos int, _name string, fraction double"))
+    wanted = df.join(table.select(F.col("_name").alias("_w")).distinct(), F.col(dataset) == F.col("_w"), "left_semi")
+    placed = with_row_index(wanted, dataset, order, name="_i")
+    spans = placed.groupBy(F.col(dataset).alias("_d")).agg(F.min("_i").alias("_from"), F.count("*").alias("_n"))
+    parts = spans.join(table, F.col("_d") == F.col("_name")).withColumn("_upto", F.col("_from") + F.floor(F.col("_n").cast("double") * F.col("fraction")))
+    return placed.join(F.broadcast(parts), (F.col(dataset) == F.col("_d")) & (F.col("_i") < F.col("_upto"))).drop("_i", "_d", "_from", "_n", "_upto", "_name", "fraction")
 
 
 def accumulation_steps(global_batch: int, per_device: int, devices: int, nodes: int) -> int:

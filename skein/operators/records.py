@@ -86,8 +86,7 @@ def null_to_no(c: Column) -> Column:
 
 
 def class_index(df: DataFrame, name: str) -> DataFrame:
-    """Index of a class among the sorted distinct classes (a bounded list of classes)."""
-    from pyspark.sql import Window
+    """Index of a class among the sorted distinct classes. Spark broadcasts them if they are small enough."""
+    from .rows import with_row_index
 
-    classes = df.select(name).distinct().withColumn("class_index", F.row_number().over(Window.orderBy(name)) - 1)
-    return df.join(F.broadcast(classes), name)
+    return df.join(with_row_index(df.select(name).where(F.col(name).isNotNull()).distinct(), name, name="class_index"), name)
