@@ -20,17 +20,16 @@ def asserted_sides(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT doc_id % 7 AS image, 'what is ' || (doc_id // 2) || '?' AS question, (doc_id * 3 + i * i) % 4 AS answer FROM documents, range(10) r(i) WHERE doc_id % 2 = 0),
+    """WITH a AS (SELECT doc_id % 7 AS image, 'what is ' || doc_id || '?' AS question, (doc_id * 3 + i * i) % 4 AS answer FROM documents, range(10) r(i)),
     c AS (SELECT image, question, answer, count(*)::DOUBLE AS c FROM a GROUP BY ALL), s AS (SELECT *, (c * least(1.0, (c - 1) / 3) + (10 - c) * least(1.0, c / 3)) / 10 AS score FROM c)
-    SELECT d.doc_id, round(coalesce(s.score, 0), 6) AS score FROM documents d LEFT JOIN s ON s.image = d.doc_id % 7 AND s.question = 'what is ' || (d.doc_id // 2) || '?' AND s.answer = (d.doc_id // 2) % 4 WHERE d.doc_id % 2 = 0"""
+    SELECT d.doc_id, round(coalesce(s.score, 0), 6) AS score FROM documents d LEFT JOIN s ON s.image = d.doc_id % 7 AND s.question = 'what is ' || d.doc_id || '?' AND s.answer = d.doc_id % 4"""
 )
 def composite_soft_accuracy(spark, sf_dir):
-    """Results meet annotations by image and question in any case; each must have one. The even documents are
-    the questions."""
-    k, ask = F.col("doc_id"), F.concat(F.lit("What is "), F.floor(F.col("doc_id") / 2).cast("string"), F.lit("?"))
-    d = t(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", (k % 7).alias("image"), ask.alias("question"))
+    """Results meet annotations by image and question in any case; each must have one."""
+    k, ask = F.col("doc_id"), F.concat(F.lit("What is "), F.col("doc_id").cast("string"), F.lit("?"))
+    d = t(spark, sf_dir, "documents").select("doc_id", (k % 7).alias("image"), ask.alias("question"))
     answers = d.select(scoring.composite_key("image", "question"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"), "doc_id").select("question_id", ((k * 3 + F.col("i") * F.col("i")) % 4).cast("string").alias("answer"))
-    results = d.select("doc_id", "image", F.upper("question").alias("question"), (F.floor(k / 2) % 4).cast("string").alias("predicted")).select("doc_id", scoring.composite_key("image", "question"), "predicted")
+    results = d.select("doc_id", "image", F.upper("question").alias("question"), (k % 4).cast("string").alias("predicted")).select("doc_id", scoring.composite_key("image", "question"), "predicted")
     asserted = scoring.required(results, answers.select("question_id").distinct(), ["question_id"])
     return scoring.soft_accuracy(answers, asserted).select("doc_id", r6("score").alias("score"))
 
