@@ -13,9 +13,17 @@ from .scores import W20
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
+def table_stream(spark, sf_dir, name: str, schema: str):
+    """A table as a stream of its files, be it one file or a folder of parts. (Braces make the path a pattern: a stream takes a
+    plain path for a folder.)"""
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{{name}}}.parquet")
+
+
 def settled(spark, stream, what: str):
-    """Run a stream over all there is, each micro-batch to a table in the shared folder, and read that table."""
+    """Run a stream over all there is, each micro-batch to a table in the shared folder, and read that table. A stream that
+    finds nothing leaves a table without rows."""
     out = rows.shared_folder(spark, what)
+    spark.createDataFrame([], stream.schema).write.parquet(out)
 
     def save(batch, _):
         batch.write.mode("append").parquet(out)
@@ -26,7 +34,7 @@ def settled(spark, stream, what: str):
 
 
 def events(spark, sf_dir):
-    return spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select("user_id", "value", F.struct("ts", "event_id").alias("at"), F.col("ts").cast("string").alias("time"), "event_id")
+    return table_stream(spark, sf_dir, "events", EVENTS).select("user_id", "value", F.struct("ts", "event_id").alias("at"), F.col("ts").cast("string").alias("time"), "event_id")
 
 
 @query(SQL["ema_usage"])
@@ -54,7 +62,7 @@ def streaming_log(spark, sf_dir):
 @query("SELECT doc_id, length(text) AS chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def streaming_resume(spark, sf_dir):
     """ST6: each id once, done ids skipped."""
-    stream = spark.readStream.schema("doc_id long, text string").option("pathGlobFilter", "documents.parquet").parquet(sf_dir).select("doc_id", F.length("text").cast("long").alias("chars"))
+    stream = table_stream(spark, sf_dir, "documents", "doc_id long, text string").select("doc_id", F.length("text").cast("long").alias("chars"))
     return settled(spark, streaming.unseen(stream, t(spark, sf_dir, "labels").select("doc_id"), "doc_id"), "resume")
 
 
