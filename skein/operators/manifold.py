@@ -6,8 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def moments(df: DataFrame, vector: str = "embedding") -> tuple[int, np.ndarray, np.ndarray]:
@@ -95,19 +98,40 @@ def blocks(df: DataFrame, n: int, name: str, id_col: str, vector: str) -> DataFr
     return df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias(name))
 
 
+#: Blocks of a side, as long as they stay below LARGEST rows: each row is then sent as often, however many rows there are.
+GRID, LARGEST = 12, 65_536
+#: Cells of one matrix product.
+CELLS = 1 << 22
+
+
 def paired_blocks(left: DataFrame, right: DataFrame, fn, schema: str, block_rows: int = 2048) -> DataFrame:
-    """Every block of one side with every block of the other, each pair of blocks as one bounded matrix product.
+    """Every block of one side with every block of the other, each pair of blocks as bounded matrix products.
 
-    The pairs of blocks are the work itself (all pairs of points are compared); what leaves a pair is what ``fn`` keeps.
+    The pairs of blocks are the work itself (all pairs of points are compared); what leaves a pair is what ``fn`` keeps. A
+    row is sent once for each block of the other side: blocks grow with the tables from ``block_rows`` to ``LARGEST`` rows,
+    so that what is sent grows with the rows, and only beyond GRID * LARGEST rows with their square. ``fn`` gets ids and
+    vectors of some rows of one block, and of all rows of the other; it must not depend on which rows come together.
     """
-    a, b = (max(1, -(-x.count() // block_rows)) for x in (left, right))
+    a, b = (max(1, -(-n // min(max(block_rows, -(-n // GRID)), max(block_rows, LARGEST)))) for n in (left.count(), right.count()))
     x = blocks(left, a, "a", "id", "v").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
     y = blocks(right, b, "b", "id", "v").withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(a - 1))))
-    return x.groupBy("a", "b").cogroup(y.groupBy("a", "b")).applyInPandas(fn, schema)
+
+    def points(side: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        v = side.column("v").combine_chunks()
+        return side.column("id").to_numpy(), v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+
+    def run(p: pa.Table, q: pa.Table) -> pa.Table:
+        if not len(p) or not len(q):
+            return out.empty_table()
+        (i, v), (j, w) = points(p), points(q)
+        step = max(1, CELLS // len(j))
+        return pa.concat_tables([pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(fn(i[at : at + step], v[at : at + step], j, w), out, strict=True)], schema=out) for at in range(0, len(i), step)])
+
+    out = to_arrow_schema(T.StructType.fromDDL(schema))
+    return x.groupBy("a", "b").cogroup(y.groupBy("a", "b")).applyInArrow(run, schema)
 
 
-def squared(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
-    p, q = np.stack(x["v"].to_list()), np.stack(y["v"].to_list())
+def squared(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.maximum((p**2).sum(1)[:, None] + (q**2).sum(1)[None] - 2 * p @ q.T, 0)
 
 
@@ -115,14 +139,12 @@ def radii(df: DataFrame, k: int = 3, id_col: str = "id", vector: str = "v") -> D
     """Squared distance to the k-th neighbour, the point itself being the 0-th."""
     points = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
 
-    def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"id": [], "d": []}).astype({"id": "int64", "d": "float64"})
-        d = squared(x, y)
-        d[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None]] = 0
+    def near(i: np.ndarray, p: np.ndarray, j: np.ndarray, q: np.ndarray):
+        d = squared(p, q)
+        d[i[:, None] == j[None]] = 0
         n = min(k + 1, d.shape[1])
         low = np.partition(d, n - 1, axis=1)[:, :n]
-        return pd.DataFrame({"id": np.repeat(x["id"].to_numpy(), n), "d": low.ravel()})
+        return np.repeat(i, n), low.ravel()
 
     return paired_blocks(points, points, near, "id long, d double").groupBy("id").agg(F.element_at(F.array_sort(F.collect_list("d")), k + 1).alias("radius"))
 
@@ -133,12 +155,8 @@ def inside(points: DataFrame, balls: DataFrame) -> DataFrame:
 
     wide = cut(balls.select("id", F.concat("v", F.array("radius")).alias("v")))
 
-    def hit(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"id": []}).astype({"id": "int64"})
-        r = np.array([v[-1] for v in y["v"]])
-        bare = pd.DataFrame({"v": [v[:-1] for v in y["v"]]})
-        return pd.DataFrame({"id": x["id"].to_numpy()[(squared(x, bare) <= r[None] * (1 + 1e-12)).any(1)]})
+    def hit(i: np.ndarray, p: np.ndarray, j: np.ndarray, q: np.ndarray):
+        return (i[(squared(p, q[:, :-1]) <= q[None, :, -1] * (1 + 1e-12)).any(1)],)
 
     return paired_blocks(points, wide, hit, "id long").distinct()
 
@@ -165,14 +183,11 @@ def realism(points: DataFrame, balls: DataFrame, eps: float = 1e-5, prune: bool
     counted = F.col("radius") if most is None else F.when(F.col("radius") <= most, F.col("radius"))
     wide = cut(balls.select("id", F.concat("v", F.array(F.coalesce(counted, F.lit(-1.0)))).alias("v")))
 
-    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"id": [], "ratio": [], "near": [], "d": []}).astype({"id": "int64", "ratio": "float64", "near": "int64", "d": "float64"})
-        y = y.sort_values("id")
-        r = np.array([v[-1] for v in y["v"]])
-        d = squared(x, pd.DataFrame({"v": [v[:-1] for v in y["v"]]}))
-        at = d.argmin(1)
-        return pd.DataFrame({"id": x["id"].to_numpy(), "ratio": (r[None] / (d + eps)).max(1), "near": y["id"].to_numpy()[at], "d": d[np.arange(len(x)), at]})
+    def best(i: np.ndarray, p: np.ndarray, j: np.ndarray, q: np.ndarray):
+        d = squared(p, q[:, :-1])
+        low = d.min(1)
+        near = np.where(d == low[:, None], j[None], np.iinfo(np.int64).max).min(1)  # the smaller id of two
+        return i, (q[None, :, -1] / (d + eps)).max(1), near, low
 
     pairs = paired_blocks(points, wide, best, "id long, ratio double, near long, d double")
     return pairs.groupBy("id").agg(F.max("ratio").alias("realism"), F.min_by("near", F.struct("d", "near")).alias("nearest"))
@@ -190,16 +205,13 @@ def polynomial_mmd(x: DataFrame, y: DataFrame, degree: int = 3) -> float:
     """Unbiased polynomial-kernel distance of two sets (id, v)."""
 
     def total(a: DataFrame, b: DataFrame, same: bool) -> float:
-        def kernel(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-            if not len(p) or not len(q):
-                return pd.DataFrame({"s": [0.0]})
-            u, w = np.stack(p["v"].to_list()), np.stack(q["v"].to_list())
+        def kernel(i: np.ndarray, u: np.ndarray, j: np.ndarray, w: np.ndarray):
             k = (u @ w.T / u.shape[1] + 1) ** degree
             if same:
-                k = np.where(p["id"].to_numpy()[:, None] == q["id"].to_numpy()[None], 0, k)
-            return pd.DataFrame({"s": [k.sum()]})
+                k[i[:, None] == j[None]] = 0
+            return ([k.sum()],)
 
-        return paired_blocks(a, b, kernel, "s double").agg(F.sum("s")).first()[0]
+        return paired_blocks(a, b, kernel, "s double").agg(F.coalesce(F.sum("s"), F.lit(0.0))).first()[0]
 
     n, m = x.count(), y.count()
     return total(x, x, True) / (n * (n - 1)) + total(y, y, True) / (m * (m - 1)) - 2 * total(x, y, False) / (n * m)
