@@ -71,7 +71,7 @@ def tar_shards(spark, sf_dir):
     """Documents to tars of 100 samples in the shared folder, and the samples found in them."""
     docs = rows.with_row_index(t(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
     folder = rows.shared_folder(spark, "tars")
-    sinks.save_blobs(sinks.tar_blobs(docs, "idx", 100, "text", "doc_id", "lang"), folder if "://" in folder else f"file://{folder.removeprefix('file:')}").count()
+    sinks.tar_files(docs, "idx", 100, folder if "://" in folder else f"file://{folder.removeprefix('file:')}", "text", "doc_id", "lang").count()
     found = sources.tar_samples(spark, folder)
     return found.groupBy(F.regexp_extract("url", r"(\d+)\.tar$", 1).cast("long").alias("tar_id")).agg(F.count("*").alias("n"))
 

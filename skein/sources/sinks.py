@@ -36,23 +36,52 @@ def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
 
-def tar_blobs(df: DataFrame, idx: str, per_tar: int, text: str = "text", *metadata: str) -> DataFrame:
-    """K4, K5: tar_id, n and the bytes of each tar; names count within the tar in eight digits; text and metadata apart.
+def tar_of(rows, idx: str, text: str, metadata: tuple[str, ...]) -> bytes:
+    """K4, K5: the tar of a frame's rows in order; names count within it in eight digits, text and metadata apart."""
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as tar:
+        for i, row in enumerate(rows.sort_values(idx).to_dict("records")):
+            for suffix, data in (("txt", row[text] or ""), ("json", json.dumps({m: row[m] for m in metadata}, default=str))):
+                info = tarfile.TarInfo(f"{i:08d}.{suffix}")
+                raw = data.encode()
+                info.size = len(raw)
+                tar.addfile(info, io.BytesIO(raw))
+    return out.getvalue()
+
+
+def put(folder: str, name: str, data: bytes) -> str:
+    """A whole file in a folder that all executors share; the last attempt's stays."""
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(folder)
+    system.create_dir(root, recursive=True)
+    temp, path = f"{root}/.{uuid.uuid4().hex}-{TaskContext.get().attemptNumber()}", f"{root}/{name}"
+    with system.open_output_stream(temp) as f:
+        f.write(data)
+    system.move(temp, path)
+    return path
+
+
+def tar_files(df: DataFrame, idx: str, per_tar: int, folder: str, text: str = "text", *metadata: str) -> DataFrame:
+    """K4, K5: tars of ``per_tar`` rows, each written by the task that makes it as soon as it is made, so that a task holds
+    one; tar_id, n and path of each."""
+    import pandas as pd
+
+    def save(rows: pd.DataFrame) -> pd.DataFrame:
+        number = int(rows["tar_id"].iloc[0])
+        return pd.DataFrame({"tar_id": [number], "n": [len(rows)], "path": [put(folder, f"{number:06d}.tar", tar_of(rows, idx, text, metadata))]})
+
+    numbered = df.select(idx, text, *metadata).withColumn("tar_id", F.floor(F.col(idx) / per_tar))
+    return numbered.groupBy("tar_id").applyInPandas(save, "tar_id long, n long, path string")
+
 
-    A tar is a bounded number of samples, so a group is bounded; ``save_blobs`` writes them out.
-    """
+def tar_blobs(df: DataFrame, idx: str, per_tar: int, text: str = "text", *metadata: str) -> DataFrame:
+    """K4, K5: tar_id, n and the bytes of each tar. A tar is a bounded number of samples, so a group is bounded; for files,
+    ``tar_files`` does without the table of tars."""
     import pandas as pd
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, out = rows.sort_values(idx), io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w") as tar:
-            for i, row in enumerate(rows.to_dict("records")):
-                for suffix, data in (("txt", row[text] or ""), ("json", json.dumps({m: row[m] for m in metadata}, default=str))):
-                    info = tarfile.TarInfo(f"{i:08d}.{suffix}")
-                    raw = data.encode()
-                    info.size = len(raw)
-                    tar.addfile(info, io.BytesIO(raw))
-        return pd.DataFrame({"tar_id": [int(rows["tar_id"].iloc[0])], "n": [len(rows)], "data": [out.getvalue()]})
+        return pd.DataFrame({"tar_id": [int(rows["tar_id"].iloc[0])], "n": [len(rows)], "data": [tar_of(rows, idx, text, metadata)]})
 
     numbered = df.select(idx, text, *metadata).withColumn("tar_id", F.floor(F.col(idx) / per_tar))
     return numbered.groupBy("tar_id").applyInPandas(build, "tar_id long, n long, data binary")
@@ -62,18 +91,8 @@ def save_blobs(blobs: DataFrame, folder: str) -> DataFrame:
     """Write tars to a folder that all executors share; returns tar_id, n, path of what finished tasks wrote."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, root = fs.FileSystem.from_uri(folder)
-        system.create_dir(root, recursive=True)
         for b in batches:
-            names = []
-            for tar_id, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                temp, name = f"{root}/.{uuid.uuid4().hex}-{TaskContext.get().attemptNumber()}", f"{root}/{tar_id:06d}.tar"
-                with system.open_output_stream(temp) as f:
-                    f.write(data)
-                system.move(temp, name)  # the last attempt's file is whole
-                names.append(name)
+            names = [put(folder, f"{k:06d}.tar", data.as_py()) for k, data in zip(b.column(0).to_pylist(), b.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names)], names=["tar_id", "n", "path"])
 
     return blobs.mapInArrow(write, "tar_id long, n long, path string")

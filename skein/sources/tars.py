@@ -9,13 +9,18 @@ from __future__ import annotations
 import tarfile
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import listing
 
 #: Bytes of a part of a member.
 PART = 16 << 20
+#: Bytes and rows that a task sends on at once.
+SENT, ROWS = 4 << 20, 1000
 MEMBERS = "url: string, pos: long, key: string, suffix: string, part: int, data: binary, error: string"
 
 
@@ -37,7 +42,7 @@ def open_stream(url: str):
 
 
 class Members:
-    """What Spark calls for each row of a listing."""
+    """The members of one archive, also as a table function for each row of a listing (which holds an archive's rows)."""
 
     def eval(self, url: str, part_bytes: int) -> Iterator[tuple]:
         pos = 0
@@ -59,14 +64,31 @@ class Members:
             yield url, pos, None, None, None, None, f"{type(e).__name__}: {e}"
 
 
+def batches_of(urls: Iterator[str], part_bytes: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Members in batches that end as soon as they have ``SENT`` bytes or ``ROWS`` rows."""
+    held, size = [], 0
+    for row in (row for url in urls for row in Members().eval(url, part_bytes)):
+        held.append(row)
+        size += len(row[5] or b"")
+        if size >= SENT or len(held) >= ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def expanded(urls: DataFrame, part_bytes: int = PART) -> DataFrame:
+    """One row of a listing (its first column, the path) to as many as the archive has members, also in a stream."""
+    schema = to_arrow_schema(T.StructType.fromDDL(MEMBERS))
+    return urls.mapInArrow(lambda batches: batches_of((url for b in batches for url in b.column(0).to_pylist()), part_bytes, schema), MEMBERS)
+
+
 def members(spark: SparkSession, path: str, part_bytes: int = PART) -> DataFrame:
     """Url, pos (place in its archive), key, suffix, part, data and error of all members of all tars below a
     folder. Members that are no files, or whose name has no suffix, are passed over but counted in ``pos``. The listing is
     dealt out so that as many archives are read at a time as there are cores."""
     tars = listing(spark, path, ".tar").where("length > 0").select("path")
-    dealt = tars.repartition(max(1, spark.sparkContext.defaultParallelism), "path")
-    table = F.udtf(Members, returnType=MEMBERS.replace(":", ""))
-    return dealt.lateralJoin(table(F.col("path").outer(), F.lit(part_bytes))).drop("path")
+    return expanded(tars.repartition(max(1, spark.sparkContext.defaultParallelism), "path"), part_bytes)
 
 
 def whole(parts: DataFrame) -> DataFrame:
