@@ -90,23 +90,38 @@ def allow_in_window(ids: Column, logits: Column, trigger: int, tokens: list[int]
     return F.when(hit, masked(logits, F.array(*[F.lit(x) for x in tokens]).cast("array<int>"))).otherwise(logits)
 
 
-def after_trigger(df: DataFrame, seq: str, pos: str, token: str, trigger: int, width: int, offset: int, window_name: str = "in_window", offset_name: str = "at_offset") -> DataFrame:
-    """M4 for sequences as rows: whether a trigger stands among the ``width`` tokens before a row, and ``offset`` places
-    before it. ``pos`` counts from 0 without gaps and tells a sequence's rows apart.
+#: Rows of a sequence that are sorted together.
+BLOCK = 4096
+
 
-    No window over a whole sequence: with blocks as wide as the window, the triggers that matter to a row are the first one
-    of its block and the last one of the block before, so two joins on (sequence, block) do, however long a sequence is.
+def after_triggers(df: DataFrame, seq: str, pos: str, token: str, windows: dict[str, tuple[int, int]], offsets: dict[str, tuple[int, int]]) -> DataFrame:
+    """M4 for sequences as rows: columns of the names in ``windows`` (trigger, width), whether the trigger stands among the
+    ``width`` tokens before a row, and in ``offsets`` (trigger, offset), whether it stands ``offset`` places before it.
+    ``pos`` counts from 0 without gaps and tells a sequence's rows apart.
+
+    No window over a whole sequence: rows are sorted in blocks, and the last rows of a block, as far as a trigger reaches,
+    are also put before the next one. All triggers are found in one pass; where the rows are dealt out by ``seq`` already
+    (or made from such rows), they stay where they are.
     """
-    block = F.floor(F.col(pos) / width)
-    hits = df.where(F.col(token) == trigger)
-    ends = hits.groupBy(F.col(seq).alias("_s"), block.alias("_b")).agg(F.min(pos).alias("_first"), F.max(pos).alias("_last"))
-    out = df.withColumn("_block", block)
-    out = out.join(ends.select("_s", "_b", "_first"), (F.col(seq) == F.col("_s")) & (F.col("_block") == F.col("_b")), "left").drop("_s", "_b")
-    out = out.join(ends.select("_s", (F.col("_b") + 1).alias("_b"), "_last"), (F.col(seq) == F.col("_s")) & (F.col("_block") == F.col("_b")), "left").drop("_s", "_b")
-    within = F.coalesce(F.col("_first") < F.col(pos), F.lit(False)) | F.coalesce(F.col("_last") >= F.col(pos) - width, F.lit(False))
-    out = out.withColumn(window_name, within).drop("_block", "_first", "_last")
-    at = hits.select(F.col(seq).alias("_s"), (F.col(pos) + offset).alias("_p"), F.lit(True).alias(offset_name))
-    return out.join(at, (F.col(seq) == F.col("_s")) & (F.col(pos) == F.col("_p")), "left").drop("_s", "_p").withColumn(offset_name, F.coalesce(offset_name, F.lit(False)))
+    reach = max([n for _, n in [*windows.values(), *offsets.values()]], default=0)
+    size = max(BLOCK, reach)
+    own = F.floor(F.col(pos) / size)
+    x = df.withColumn("_block", F.explode(F.when(F.col(pos) % size >= size - reach, F.array(own, own + 1)).otherwise(F.array(own))))
+    order = Window.partitionBy(seq, "_block").orderBy(pos)
+    last = {n: F.max(F.when(F.col(token) == n, F.col(pos))).over(order.rowsBetween(Window.unboundedPreceding, -1)) for n, _ in windows.values()}
+    found = {name: F.coalesce(last[n] >= F.col(pos) - width, F.lit(False)) for name, (n, width) in windows.items()}
+    found |= {name: F.coalesce(F.lag(token, offset).over(order) == n, F.lit(False)) for name, (n, offset) in offsets.items()}
+    return x.withColumns(found).where(F.col("_block") == own).drop("_block")
+
+
+def after_trigger(df: DataFrame, seq: str, pos: str, token: str, trigger: int, width: int, offset: int, window_name: str = "in_window", offset_name: str = "at_offset") -> DataFrame:
+    """M4 for sequences as rows: ``after_triggers`` for one trigger."""
+    return after_triggers(df, seq, pos, token, {window_name: (trigger, width)}, {offset_name: (trigger, offset)})
+
+
+def only(condition: Column, tokens: list[int]) -> Column:
+    """M4 for up to 32 tokens as bits: those that may follow where the condition holds; all where it does not."""
+    return F.when(condition, F.lit(sum(1 << k for k in tokens))).otherwise(F.lit(-1))
 
 
 def penalised(logit: Column, count: Column, repetition: float = 1.0, frequency: float = 0.0, presence: float = 0.0) -> Column:
