@@ -47,6 +47,17 @@ def with_row_index(df: DataFrame, *order: Column | str, name: str = "idx") -> Da
     return placed.withColumn("_p", part).join(F.broadcast(table), "_p").withColumn(name, F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_p", "_o")
 
 
+#: Bytes that a piece of an ordered table holds, about.
+PIECE = 1 << 24
+
+
+def in_pieces(df: DataFrame, size: Column, *order: Column | str, least: int = 1) -> DataFrame:
+    """Range partitions of about ``PIECE`` bytes by ``size``, each sorted by the given total order: their number grows with the table,
+    so what a task holds does not. ``least`` is how many there are of a small table."""
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return df.repartitionByRange(max(least, -(-total // PIECE)), *order).sortWithinPartitions(*order)
+
+
 def shard(idx: Column, n: Column | int, k: int, how: str) -> Column:
     """Which of k shards row idx of n belongs to.
 

@@ -96,13 +96,15 @@ def union_by_key(spark, sf_dir):
 
 @query(r"SELECT doc_id % 16 AS part, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) AS line_no, md5(regexp_replace(coalesce(text, ''), '[\r\n\v\f\x{85}\x{2028}\x{2029}]', ' ', 'g')) AS digest FROM documents")
 def text_lines(spark, sf_dir):
-    """File, number and value of every line of text files: a text to a line, sixteen files in order of id."""
+    """File, number and value of every line of text files: a text to a line, sixteen folders in order of id, whose files follow one
+    another and are as many as the table asks for."""
     out = folder(spark, "lines")
     line = F.regexp_replace("text", "[\\r\\n\\x0B\\f\\x85\\u2028\\u2029]", " ")
-    placed = documents(spark, sf_dir).select(line.alias("value"), (F.col("doc_id") % 16).alias("part"), "doc_id")
-    placed.repartition(16, "part").sortWithinPartitions("part", "doc_id").drop("doc_id").write.partitionBy("part").text(out)
-    found = sources.lines(spark, out)
-    return found.select(F.regexp_extract("file", r"part=(\d+)/", 1).cast("long").alias("part"), F.col("line_no").cast("long").alias("line_no"), F.md5(F.col("value").cast("binary")).alias("digest"))
+    placed = documents(spark, sf_dir).select("text", (F.col("doc_id") % 16).alias("part"), "doc_id")
+    rows.in_pieces(placed, F.octet_length("text"), "part", "doc_id", least=8).select(line.alias("value"), "part").write.partitionBy("part").text(out)
+    of = r"/part=([^/]*)/[^/]*$"
+    found = sources.lines(spark, out, of)
+    return found.select(F.regexp_extract("file", of, 1).try_cast("long").alias("part"), "line_no", F.md5(F.col("value").cast("binary")).alias("digest"))
 
 
 @query("SELECT source, count(*) AS counted, count(*) AS listed FROM documents GROUP BY source")
@@ -157,8 +159,8 @@ def chunk_answers(spark, sf_dir):
     """Answers that eight workers wrote, put together in the order of chunks and lines."""
     out = folder(spark, "chunks")
     placed = documents(spark, sf_dir).select(F.to_json(F.struct("doc_id")).alias("value"), (F.col("doc_id") % 8).alias("chunk"), "doc_id")
-    placed.repartition(8, "chunk").sortWithinPartitions("chunk", "doc_id").drop("doc_id").write.partitionBy("chunk").text(out)
-    return sources.concatenated(spark, out).select("chunk", F.col("line_no").cast("long").alias("line_no"), F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"))
+    rows.in_pieces(placed, F.octet_length("value"), "chunk", "doc_id", least=8).drop("doc_id").write.partitionBy("chunk").text(out)
+    return sources.concatenated(spark, out).select("chunk", "line_no", F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"))
 
 
 @query("SELECT doc_id, coalesce(text, '') AS text, CASE WHEN doc_id % 3 = 0 THEN source ELSE 'no' END AS source, 'no' AS url, CASE WHEN doc_id % 3 = 0 THEN 'd' || doc_id ELSE 'no' END AS id FROM documents WHERE doc_id % 5 IN (0, 1, 3)")

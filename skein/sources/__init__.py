@@ -69,20 +69,40 @@ def tar_samples(spark: SparkSession, path: str) -> DataFrame:
     return tars.samples(tars.whole(tars.members(spark, path)))
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """File, line_no (from 1, by place in the file) and value of every line."""
+#: Blocks of text files up to which the shifts of their lines are broadcast.
+BLOCKS = 100_000
+
+
+def lines(spark: SparkSession, path: str, text: str | None = None) -> DataFrame:
+    """File, stem, value and line_no (from 1, by place in the file) of every line. ``text`` is a pattern whose group
+    names, in a file's path, the text that the file is a piece of: its files follow one another by number and name and are
+    numbered through. A file that does not match it is a text of its own.
+
+    Large files are read in blocks, each by a task. What was read is stored once with its place, since another reading may cut
+    other blocks; a block's lines are then shifted by the sizes of those before it, so no task holds a file."""
     from pyspark.sql import Window
 
-    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1).alias("stem"), "value", F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
-    return text.withColumn("line_no", F.row_number().over(Window.partitionBy("file").orderBy("_b", "_m"))).drop("_b", "_m")
+    from ..operators.rows import cut, shared_folder
+
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1).alias("stem"), "value", F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
+    out = shared_folder(spark, "lines-read")
+    read.write.parquet(out)
+    placed = spark.read.schema(read.schema).parquet(out)
+    whole = F.coalesce(F.nullif(F.regexp_extract("file", text, 1), F.lit("")), F.col("file")) if text else F.col("file")
+    number = F.regexp_extract("file", r"/part-(\d+)[^/]*$", 1).try_cast("long")
+    before = Window.partitionBy("_w").orderBy("_k", "file", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("file", "_b").agg(F.count("*").alias("_n"), F.min("_m").alias("_o")).withColumns({"_w": whole, "_k": number})
+    shifts = cut(sizes.select("file", "_b", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1 - F.col("_o")).alias("_s")))
+    few = shifts.count() <= BLOCKS
+    return placed.join(F.broadcast(shifts) if few else shifts, ["file", "_b"]).select("file", "stem", "value", (F.col("_m") + F.col("_s")).alias("line_no"))
 
 
 def concatenated(spark: SparkSession, path: str) -> DataFrame:
-    """Chunk files as one: chunk (the last number of a file's name), line_no and value; ``orderBy("chunk", "line_no")`` is the
-    order of the whole."""
-    found = lines(spark, path)
+    """Chunk files as one: chunk (of a folder chunk=, whose files are one chunk, else the last number of a file's name), line_no
+    and value; ``orderBy("chunk", "line_no")`` is the order of the whole."""
+    found = lines(spark, path, r"^(.*/chunk=[^/]*/)[^/]*$")
     name = F.regexp_extract("file", r"([^/]*)$", 1)
-    parent = F.regexp_extract("file", r"chunk=(\d+)/[^/]*$", 1)
+    parent = F.regexp_extract("file", r"/chunk=([^/]*)/[^/]*$", 1)
     number = F.when(parent != "", parent).otherwise(F.regexp_extract(name, r"(\d+)\D*$", 1))
     return found.select(number.try_cast("long").alias("chunk"), "line_no", "value")
 
