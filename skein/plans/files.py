@@ -74,11 +74,11 @@ def formats_alike(spark, sf_dir):
 
 @query("SELECT 'first' AS which, greatest(1, count(DISTINCT doc_id % 16) // 4) AS shards, true AS apart FROM documents UNION ALL SELECT 'last', greatest(1, count(DISTINCT doc_id % 16) // 4), true FROM documents")
 def sampled_shards(spark, sf_dir):
-    """Shards listed without their contents; the first quarter of their hashed order, and the last, have nothing in
-    common. Which shards they are follows from paths, which differ from run to run."""
+    """Shards listed without their contents, folders of files that every task adds to; the first quarter of their hashed
+    order, and the last, have nothing in common. Which shards they are follows from paths, which differ from run to run."""
     out = folder(spark, "shards")
-    documents(spark, sf_dir).withColumn("part", F.col("doc_id") % 16).repartition("part").write.partitionBy("part").parquet(out)
-    listed = sources.listing(spark, out, ".parquet")
+    documents(spark, sf_dir).withColumn("part", F.col("doc_id") % 16).write.partitionBy("part").parquet(out)
+    listed = sources.folders(sources.listing(spark, out, ".parquet"))
     first, last = sources.shard_sample(listed, 0.25, 7), sources.shard_sample(listed, 0.25, 7, tail=True)
     both = first.select("path", F.lit("first").alias("which")).unionByName(last.select("path", F.lit("last").alias("which")))
     times = both.groupBy("path").agg(F.count("*").alias("times"))
@@ -111,7 +111,7 @@ def text_lines(spark, sf_dir):
 def shard_counts(spark, sf_dir):
     """Sizes by a manifest where there is one, else counted; rows come in batches of files sorted by name."""
     out, d = folder(spark, "sized"), documents(spark, sf_dir)
-    d.repartition("source").write.partitionBy("source").parquet(out)
+    d.write.partitionBy("source").parquet(out)
     manifest = d.groupBy("source").agg(F.count("*").alias("n"))
     total = sources.shard_sizes(manifest, d)
     if total != sources.shard_sizes(None, spark.read.parquet(out)):

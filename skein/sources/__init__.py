@@ -46,6 +46,11 @@ def listing(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(path).select("path", "length", "modificationTime")
 
 
+def folders(files: DataFrame) -> DataFrame:
+    """Listed files by folder, where a shard is a folder of files: path, length, modificationTime (of the last)."""
+    return files.groupBy(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("path")).agg(F.sum("length").alias("length"), F.max("modificationTime").alias("modificationTime"))
+
+
 def shard_sample(files: DataFrame, share: float, seed: int, tail: bool = False) -> DataFrame:
     """Of the hashed order of shards the first share, or the last (at least one); names with // go."""
     kept = files.where(~F.regexp_replace("path", "^[a-z0-9]+:/+", "").contains("//"))
